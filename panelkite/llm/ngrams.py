@@ -46,6 +46,8 @@ BANDS = ((16, 0), (64, 4), (256, 16), (1 << 62, 128))
 _CELLS = 1 << 14
 #: Keys that a task gathers before it hands them on.
 _HELD = 1 << 20
+#: Stands for a null id.
+_NO_ID = -(1 << 63)
 
 
 def _signature(tokens: np.ndarray) -> int:
@@ -101,12 +103,12 @@ def _sets(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.Re
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, np.ndarray]:
-    """Stored rows (id, n, sig), one for each document, and the sketch of token frequencies."""
+    """Stored rows (id, n, sig, bits), one for each document, and the sketch of token frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         seen: set[int] = set()
-        names = ["id", "n", "sig", "block", "cells"]
+        names = ["id", "n", "sig", "bits", "block", "cells"]
         for batch, sets in _sets(batches, 1):
             sigs = [_signature(s) if len(s) else None for s in sets]
             new = [s for s, g in zip(sets, sigs, strict=True) if g is not None and g not in seen]
@@ -116,14 +118,14 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
             if new:
                 counts += np.bincount(np.concatenate(new) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
             none = [None] * len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sigs, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(sigs, pa.int64()), pa.array([_bitmap(x) if len(x) else None for x in sets], pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
         for b in _base.as_blocks(counts, _CELLS):
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), b.column(0), b.column(1)], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.array([None], pa.int64())] * 3, pa.array([None], pa.binary()), b.column(0), b.column(1)], names=names)
 
-    rows = docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id bigint, n bigint, sig bigint, block int, cells binary")
+    rows = docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id bigint, n bigint, sig bigint, bits binary, block int, cells binary")
     both = _base.stored(rows, "sets")
     sketch = _base.summed(both.where("block IS NOT NULL").select("block", "cells"), _CELLS, (1 << SKETCH_BITS) // _CELLS)
-    return both.where("block IS NULL").select("id", "n", "sig"), sketch
+    return both.where("block IS NULL").select("id", "n", "sig", "bits"), sketch
 
 
 def shared_keys(docs: DataFrame, sketch: np.ndarray, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -230,62 +232,73 @@ def _may(n: int, m: int, overlap: int, percent: int) -> bool:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The distinct pairs (a, b) of classes that link; sets: (sig, n, bits, tokens)."""
+def possible(pairs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the distinct pairs (a, b) of classes whose bitmaps allow a link; groups: (sig, n, bits)."""
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, x, y = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
-            keep = [_may(p, q, (p + q - _differ(s, t)) // 2, percent) for p, q, s, t in zip(n, m, x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            keep = pa.array([_may(p, q, (p + q - _differ(s, t)) // 2, percent) for p, q, s, t in zip(n, m, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    left = groups.select(F.col("sig").alias("a"), "n", F.col("bits").alias("x"))
+    right = groups.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
+    return _base.stored(both.mapInArrow(run, "a bigint, b bigint"), "possible")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their whole sets; sets: (sig, tokens)."""
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 keep.append(_may(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)), percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
 
-    small = sets.select("sig", "n", "bits")
-    left = small.select(F.col("sig").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
-    right = small.select(F.col("sig").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-    may = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(possible, "a bigint, b bigint")
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    return may.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def class_sets(docs: DataFrame, firsts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(sig, n, bits, tokens) of the classes whose first documents are given as (id, want)."""
+    """(sig, tokens) of the classes whose first documents are given as (id, want)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, 1):
             # An id that occurs in several rows brings texts of other classes along.
             own = [(w, s) for w, s in zip(batch.column(0).to_pylist(), sets, strict=True) if len(s) and _signature(s) == w]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), pa.array([_bitmap(s) for _, s in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())],
-                names=["sig", "n", "bits", "tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["sig", "tokens"])
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.join(firsts, F.col("_id") == F.col("id")).select("want", "_text")
-    return _base.stored(rows.mapInArrow(run, "sig bigint, n bigint, bits binary, tokens binary").dropDuplicates(["sig"]), "class-sets")
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("_text"))
+    # Repeated rows go where the join has brought them together.
+    rows = rows.join(firsts, "id").withColumn("_same", F.xxhash64("_text")).dropDuplicates(["id", "want", "_same"])
+    return rows.select("want", "_text").mapInArrow(run, "sig bigint, tokens binary")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, class_id) for each row of docs."""
     rows, sketch = classes(docs, text, key)
     keys = shared_keys(docs, sketch, text, percent)
-    groups = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("id"), F.min("id").alias("least"))
-    live = keys.select("sig").distinct()
-    sets = class_sets(docs, groups.join(live, "sig").select("id", F.col("sig").alias("want")), text, key)
+    groups = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.coalesce("id", F.lit(_NO_ID))).alias("id"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    groups = _base.stored(groups, "classes")
+    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        may = possible(pairs, groups, percent)
+        live = may.select(F.col("a").alias("sig")).unionByName(may.select(F.col("b").alias("sig"))).distinct()
+        sets = _base.stored(class_sets(docs, groups.select("sig", "id").join(live, "sig").select("id", F.col("sig").alias("want")), text, key), "class-sets")
+        out = _base.stored(verified(may, sets, percent), "links")
+        _base.discard(sets)
+        return out
 
     # Every member of a key with the key's smallest class.
     pivots = keys.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("_p"), F.max("sig").alias("_top")).where("_p.sig <> _top").select("key", F.col("_p.sig").alias("a"), F.col("_p.n").alias("m"))
-    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     star = _base.stored(keys.join(pivots, "key").where("sig <> a").where(fits).select("a", F.col("sig").alias("b")).distinct(), "pairs")
-    links = _base.stored(verified(star, sets, percent), "links")
+    links = links_of(star)
     roots = _base.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # What is left: pairs between components of a key.
@@ -295,12 +308,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int
     placed = placed.join(mixed, "key", "left_semi")
     other = placed.select("key", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("root").alias("_root"))
     crossed = placed.withColumnRenamed("sig", "a").join(other, "key").where((F.col("root") != F.col("_root")) & (F.col("a") < F.col("b"))).where(fits)
-    crossed = crossed.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _base.stored(verified(crossed, sets, percent), "links")
-    every = links.unionByName(more)
+    crossed = _base.stored(crossed.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    every = links.unionByName(links_of(crossed))
     roots = _base.components(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    named = groups.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    named = groups.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     named = _base.stored(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "root").select(F.col("sig").alias("_sig"), "component_id")
