@@ -13,11 +13,14 @@ estimate changes the work only, as every order of tokens gives all links.
 How many subclasses there are depends on the set's size, by bands; a document
 is indexed under each band in which a partner's size can lie.
 
-Candidates of a key are first its members with the smallest one (one row a
-member, however large the key), verified and united.  Keys whose members are
-then still of several components give the pairs between components.  A bitmap
-of each set bounds the overlap from above before tokens are compared, and
-verification compares whole sets.
+Candidates of a key are first its members with the smallest one, its pivot (one
+row a member, however large the key), verified and united.  Keys whose members
+are then still of several components give the pairs between components.  Keys
+of one pivot with many members are taken together: the pivot's members are
+dealt into blocks, and pairs of blocks are compared by bitmaps, first for the
+nearest partners in other components, at last for all that are possible.  A
+set's bitmap bounds its overlaps from above, and verification compares whole
+sets.
 
 Tokens are 64-bit hashes of five words, classes 64-bit hashes of sets.  Null
 and empty texts have no tokens and link with nothing; fewer than five words are
@@ -46,6 +49,10 @@ BANDS = ((16, 0), (64, 4), (256, 16), (1 << 62, 128))
 _CELLS = 1 << 14
 #: Keys that a task gathers before it hands them on.
 _HELD = 1 << 20
+#: Members of a pivot from which on blocks are compared, and their size.
+HOT, BLOCK = 96, 1024
+#: Partners in other components that a member asks for in each round; in the last, all.
+ROUNDS = (2, 2, None)
 #: Stands for a null id.
 _NO_ID = -(1 << 63)
 
@@ -213,7 +220,7 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, text: str = "text", percent
 
 def _bitmap(tokens: np.ndarray) -> bytes:
     bits = 64
-    while bits < 2 * len(tokens):
+    while bits < 8 * len(tokens):
         bits *= 2
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -279,6 +286,58 @@ def class_sets(docs: DataFrame, firsts: DataFrame, text: str = "text", key: str
     return rows.select("want", "_text").mapInArrow(run, "sig bigint, tokens binary")
 
 
+def _folded(rows: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of so many 64-bit words, longer ones folded."""
+    out = np.zeros((len(rows), words), np.uint64)
+    for i, raw in enumerate(rows):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def block_pairs(members: DataFrame, limit: int | None, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b) of different components in a pivot's members (pivot, sig, n, bits, root) whose bitmaps allow a link.
+
+    With a limit, each member's nearest only.
+    """
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_many"), F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select(F.col("pivot").alias("_p"), "_many")
+    rows = members.join(sizes, F.col("pivot") == F.col("_p")).withColumn("_block", F.pmod(F.xxhash64("sig"), F.col("_many")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
+    rows = rows.select("pivot", "sig", "n", "bits", "root", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        own, sig, n, root = (np.array(table.column(c).to_pylist(), np.int64) for c in ("_block", "sig", "n", "root"))
+        bits = table.column("bits").to_pylist()
+        words = np.array([len(b) // 8 for b in bits])
+        out_a, out_b = [], []
+        for wide in np.unique(words):
+            left = np.flatnonzero((own == low) & (words == wide))
+            for narrow in np.unique(words):
+                right = np.flatnonzero((own == high) & (words == narrow))
+                if not len(left) or not len(right) or max(wide, narrow) > 2 * min(wide, narrow):
+                    continue
+                m = int(min(wide, narrow))
+                x, y = _folded([bits[i] for i in left], m), _folded([bits[i] for i in right], m)
+                for i, row in zip(left.tolist(), x, strict=True):
+                    fit = (root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+                    if low == high and limit is None:
+                        fit &= sig[right] > sig[i]
+                    at = np.flatnonzero(fit)
+                    if not len(at):
+                        continue
+                    shared = (n[right[at]] + n[i] - np.bitwise_count(y[at] ^ row).sum(axis=1).astype(np.int64)) // 2
+                    may = 100 * shared >= percent * (n[right[at]] + n[i] - shared)
+                    at, shared = at[may], shared[may]
+                    if limit is not None and len(at) > limit:
+                        at = at[np.argsort(shared / (n[right[at]] + n[i]), kind="stable")[::-1][:limit]]
+                    out_a.append(np.minimum(sig[right[at]], sig[i]))
+                    out_b.append(np.maximum(sig[right[at]], sig[i]))
+        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("pivot", "_low", "_high").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, class_id) for each row of docs."""
     rows, sketch = classes(docs, text, key)
@@ -287,33 +346,53 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int
     groups = _base.stored(groups, "classes")
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        may = possible(pairs, groups, percent)
-        live = may.select(F.col("a").alias("sig")).unionByName(may.select(F.col("b").alias("sig"))).distinct()
-        sets = _base.stored(class_sets(docs, groups.select("sig", "id").join(live, "sig").select("id", F.col("sig").alias("want")), text, key), "class-sets")
-        out = _base.stored(verified(may, sets, percent), "links")
-        _base.discard(sets)
-        return out
+    def sets_of(sigs: DataFrame) -> DataFrame:
+        firsts = groups.select("sig", "id").join(sigs.distinct(), "sig").select("id", F.col("sig").alias("want"))
+        return _base.stored(class_sets(docs, firsts, text, key), "class-sets")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
+
+    def united(links: DataFrame) -> DataFrame:
+        return _base.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
     # Every member of a key with the key's smallest class.
     pivots = keys.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("_p"), F.max("sig").alias("_top")).where("_p.sig <> _top").select("key", F.col("_p.sig").alias("a"), F.col("_p.n").alias("m"))
-    star = _base.stored(keys.join(pivots, "key").where("sig <> a").where(fits).select("a", F.col("sig").alias("b")).distinct(), "pairs")
-    links = links_of(star)
-    roots = _base.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pivots = _base.stored(pivots, "pivots")
+    members = _base.stored(keys.join(pivots, "key").select("a", "m", "sig", "n").distinct(), "members")
+    star = members.where("sig <> a").where(fits).select("a", F.col("sig").alias("b"))
+    hot = members.groupBy("a").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT).select(F.col("a").alias("pivot"))
+    hot = _base.stored(hot, "hot")
+    crowd = members.join(hot, F.col("a") == F.col("pivot")).select("pivot", "sig")
+
+    may = possible(star, groups, percent)
+    sets = sets_of(ends(may).unionByName(crowd.select("sig")))
+    links = _base.stored(verified(may, sets, percent), "links")
+    roots = united(links)
+
+    crowd = _base.stored(crowd.join(groups.select("sig", "n", "bits"), "sig"), "crowd")
+    if crowd.head() is not None:
+        for limit in ROUNDS:
+            near = block_pairs(placed(crowd, roots), limit, percent)
+            links = links.unionByName(_base.stored(verified(near, sets, percent), "links"))
+            roots = united(links)
+    _base.discard(sets)
 
     # What is left: pairs between components of a key.
-    placed = keys.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    placed = _base.stored(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("key")
-    placed = placed.join(mixed, "key", "left_semi")
-    other = placed.select("key", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("root").alias("_root"))
-    crossed = placed.withColumnRenamed("sig", "a").join(other, "key").where((F.col("root") != F.col("_root")) & (F.col("a") < F.col("b"))).where(fits)
+    rest = keys.join(pivots, "key").join(hot, F.col("a") == F.col("pivot"), "left_anti").select("key", "sig", "n")
+    rest = _base.stored(placed(rest, roots), "placed")
+    mixed = rest.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("key")
+    rest = rest.join(mixed, "key", "left_semi")
+    other = rest.select("key", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("root").alias("_root"))
+    crossed = rest.withColumnRenamed("sig", "a").join(other, "key").where((F.col("root") != F.col("_root")) & (F.col("a") < F.col("b"))).where(fits)
     crossed = _base.stored(crossed.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    every = links.unionByName(links_of(crossed))
-    roots = _base.components(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    may = possible(crossed, groups, percent)
+    links = links.unionByName(_base.stored(verified(may, sets_of(ends(may)), percent), "links"))
 
-    named = groups.select("sig", "least").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    named = _base.stored(named, "named")
+    named = _base.stored(placed(groups.select("sig", "least"), united(links)), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "root").select(F.col("sig").alias("_sig"), "component_id")
     # A class may hold a third of all rows: joined by a shuffle whose large partitions Spark splits.
