@@ -11,7 +11,8 @@ drop: in at least `copies` documents, and not in the keeper.
 Hashes are 128 bits.  Null or empty texts are one empty line and are kept;
 empty tables give empty results; a document id that occurs in several rows
 counts as one document, and a null id as the smallest; all other columns are
-passed through `dedup`, also such as are named like a column of ours.
+passed through `dedup`, also such as are named like a column of ours (`marked`
+replaces those of its three names).
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _hashed(rows: DataFrame, least: int) -> DataFrame:
     """(_id, _row, _at, hi, lo) for each line of at least `least` characters."""
-    one = rows.select("_id", "_row", F.posexplode("_lines").alias("_at", "_line")).withColumn("_key", line_key(F.col("_line")))
+    one = rows.select("_id", "_row", F.posexplode("_lines").alias("_at", "_line")).where(F.char_length("_line") >= least).withColumn("_key", line_key(F.col("_line")))
     return one.where(F.char_length("_key") >= least).select("_id", "_row", "_at", F.xxhash64("_key").alias("hi"), F.xxhash64(F.lit(1), F.col("_key")).alias("lo"))
 
 
@@ -99,8 +100,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", cha
     return out
 
 
-def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """docs with line_count, line_dropped and line_kept (the text without its dropped lines)."""
+def _marked(docs: DataFrame, key: str, text: str, **how: int) -> DataFrame:
+    """(_doc, _count, _dropped, _kept): the document, its lines, how many go, and the text without them."""
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
@@ -114,19 +115,27 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int)
     fingerprint = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     lines = _hashed(_rows(docs.select(key, text), key, text).withColumn("_row", fingerprint), how.get("chars", LEAST_CHARS))
     drops = lines.join(repeated, ["hi", "lo"]).where("_id <> top").groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_set("_at").alias("_drop"))
-    rows = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).withColumn("_row", fingerprint)
+    # The document's own columns travel as one, so that none is taken for ours.
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_id"), fingerprint.alias("_row"))
     joined = rows.join(drops, (F.col("_id") == F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    joined = joined.withColumn("line_dropped", F.greatest(F.size("_drop"), F.lit(0)).cast("long"))
-    joined = joined.withColumn("line_count", (F.char_length(whole) - F.char_length(F.translate(whole, "\n", "")) + 1).cast("long"))
-    cut = without(F.when(F.col("line_dropped") > 0, F.col(text)), F.col("_drop"))
-    return joined.withColumn("line_kept", F.when(F.col("line_dropped") > 0, cut).otherwise(whole)).drop("_id", "_i", "_row", "_r", "_drop")
+    whole = F.coalesce(F.col("_text"), F.lit(""))
+    joined = joined.withColumn("_dropped", F.greatest(F.size("_drop"), F.lit(0)).cast("long"))
+    joined = joined.withColumn("_count", (F.char_length(whole) - F.char_length(F.translate(whole, "\n", "")) + 1).cast("long"))
+    cut = without(F.when(F.col("_dropped") > 0, F.col("_text")), F.col("_drop"))
+    return joined.select("_doc", "_count", "_dropped", F.when(F.col("_dropped") > 0, cut).otherwise(whole).alias("_kept"))
+
+
+def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """docs with line_count, line_dropped and line_kept (the text without its dropped lines), in place of columns of these names."""
+    own = ("line_count", "line_dropped", "line_kept")
+    done = _marked(docs, key, text, **how)
+    return done.select(*[F.col(f"_doc.{c}") for c in docs.columns if c not in own], F.col("_count").alias(own[0]), F.col("_dropped").alias(own[1]), F.col("_kept").alias(own[2]))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """docs with the repeated lines gone from the text."""
-    done = marked(docs, key, text, **how)
-    return done.select(*[F.col("line_kept").alias(c) if c == text else F.col(c) for c in docs.columns])
+    done = _marked(docs, key, text, **how)
+    return done.select(*[F.col("_kept").alias(c) if c == text else F.col(f"_doc.{c}") for c in docs.columns])
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

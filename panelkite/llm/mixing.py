@@ -9,8 +9,8 @@ cut is summed row by row.
 
 Empty tables give empty results; null texts have size 0; a null source is a
 source of its own and comes last; documents of size 0 are never taken; repeated
-rows are separate documents; extra columns stay in `mix`, and are left alone
-even if they are called like a column of ours (all of ours start with "mix_").
+rows are separate documents; extra columns stay in `mix`, whatever their names
+(mix_epoch and mix_finish are replaced).
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent:
     return ranked.select("mix_source", "mix_source_size", target.alias("mix_target"))
 
 
-def queued(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: Sequence[int] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = EPOCHS, carry: Sequence[str] = ()) -> DataFrame:
+def queued(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: Sequence[int] = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = EPOCHS, carry: bool = False) -> DataFrame:
     """One row for each copy that may be taken, with mix_taken telling whether it is."""
     spark = docs.sparkSession
     # Enough ranges that each fits a task: as many as the session's shuffles, for a source that holds all rows.
@@ -62,7 +62,8 @@ def queued(docs: DataFrame, source: str = "source", text: str = "text", key: str
         F.col(source).alias("mix_source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("mix_size"),
         F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("mix_order"),
-        *carry,
+        # The document's own columns travel as one, so that none is taken for ours.
+        *([F.struct(*docs.columns).alias("mix_doc")] if carry else []),
     )
     sizes = rows.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"))
     targets = source_targets(sizes, weights, percent, epochs)
@@ -92,8 +93,10 @@ def queued(docs: DataFrame, source: str = "source", text: str = "text", key: str
 
 
 def mix(docs: DataFrame, **how: object) -> DataFrame:
-    """The mixed documents, each repeated as often as it is taken, with mix_finish to order by."""
-    return queued(docs, carry=docs.columns, **how).where("mix_taken").select(*docs.columns, "mix_epoch", "mix_finish")
+    """The mixed documents, each repeated as often as it is taken, with mix_epoch and mix_finish (to order by) in place of columns of these names."""
+    own = ("mix_epoch", "mix_finish")
+    taken = queued(docs, carry=True, **how).where("mix_taken")
+    return taken.select(*[F.col(f"mix_doc.{c}") for c in docs.columns if c not in own], *own)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

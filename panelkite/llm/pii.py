@@ -12,7 +12,7 @@ Occurrences of all words of all documents are counted in tables of a fixed
 number of hash buckets; a collision can only lower a term's disclosure or lend
 it another's.  Null texts count as empty; texts of any length are read whole
 and in linear time; empty tables give empty results; repeated rows are found
-alike; other columns pass through (those of `spans_of` start with "pii_").
+alike; other columns pass through (those of our names, "pii_...", are replaced).
 """
 
 from __future__ import annotations
@@ -182,6 +182,7 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 def spans_of(docs: DataFrame, text: str = "text", clean: bool = True) -> DataFrame:
     """docs with pii_email, pii_ip, pii_card, pii_phone, pii_base, pii_spans and, if asked for, pii_clean (the sanitised text)."""
     table = disclosures(docs, text)
+    docs = docs.drop(*[f"pii_{k}" for k in KINDS], "pii_base", "pii_spans", "pii_clean")
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

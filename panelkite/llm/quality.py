@@ -10,7 +10,7 @@ temperature of its probabilities is fitted on a part of the sample kept apart.
 Null and empty texts are scored from the zero vector; without labels, or with
 labels of one kind only, the score is that kind's smoothed share.  Empty tables
 give empty results, repeated rows get equal scores, and all other columns pass
-through `score` untouched (its own are quality_score and quality_predicted).
+through `score` untouched (quality_score and quality_predicted are replaced).
 """
 
 from __future__ import annotations
@@ -167,6 +167,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
     seen = sorted((r["key"], r["y"], bytes(r["x"])) for r in rows.mapInArrow(features, f"key {kind}, y int, x binary").collect())
     x = np.array([np.frombuffer(v, np.float32) for _, _, v in seen], np.float64).reshape(len(seen), 2 * WIDTH + 1)
     network = Network(x, np.array([y for _, y, _ in seen], int))
+    docs = docs.drop("quality_score", "quality_predicted")
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

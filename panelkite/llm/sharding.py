@@ -14,7 +14,8 @@ counts where it begins, so a shard is over its bound by one row at most.
 
 Null texts have no bytes (size 1, crc32 0); a null id hashes as empty; repeated
 ids are placed one after the other; empty tables give empty results; other
-columns, whatever their names, are passed through by `assign`.
+columns, whatever their names, are passed through by `assign` (shard_size,
+shard_id and shard_slot are replaced).
 """
 
 from __future__ import annotations
@@ -75,14 +76,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, law: str = "rows", key: str =
         return pd.Series(np.searchsorted(places, at.to_numpy()) % len(places)).astype("int32")
 
     ranges = max(64, _base.partitions(spark))
-    rows = docs.withColumn("shard_size", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"))
-    rows = rows.withColumn("_md5", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
+    # The row's own columns travel as one, so that none is taken for ours.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_doc"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("shard_size"),
+        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_md5"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"),
+    )
     rows = rows.withColumn("_at", F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long")).withColumn("_arc", arc_of("_at"))
     rows = rows.withColumn("_load", F.lit(1).cast("long") if law == "rows" else F.col("shard_size"))
     # The arc across zero continues after the last place.
     turned = F.pmod(F.col("_at") - int(places[-1]) - 1, F.lit(1 << 32))
     cut = F.floor(turned * ranges / (1 << 32)).cast("int")
-    order = [turned, F.col("_md5"), F.col("shard_size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
+    order = [turned, F.col("_md5"), F.col("shard_size"), F.col("_crc")]
     rows = _base.cumulative(rows, ["_arc"], order, cut, "_load", "_through").withColumn("_begin", F.col("_through") - F.col("_load"))
     by_arc = {r["_arc"]: (r["n"], r["load"]) for r in _arc_totals(docs, key, text, arc_of, law)}
     totals = [by_arc.get(a, (0, 0))[1] for a in range(len(places))]
@@ -101,7 +107,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, law: str = "rows", key: str =
         rows = rows.withColumn("shard_slot", F.col("_base") + F.col("_begin") - F.col("_low"))
     else:
         rows = _base.cumulative(rows, ["shard_id"], order, cut, "_load", "_sum", "_nth").withColumn("shard_slot", F.col("_nth") - 1)
-    return rows.select(*docs.columns, "shard_size", F.col("shard_id").cast("int").alias("shard_id"), F.col("shard_slot").cast("long").alias("shard_slot"))
+    own = ("shard_size", "shard_id", "shard_slot")
+    return rows.select(*[F.col(f"_doc.{c}") for c in docs.columns if c not in own], "shard_size", F.col("shard_id").cast("int").alias("shard_id"), F.col("shard_slot").cast("long").alias("shard_slot"))
 
 
 def _arc_totals(docs: DataFrame, key: str, text: str, arc_of: object, law: str) -> list:

@@ -15,7 +15,7 @@ take no part; shorter vectors count as padded with zeros; rows with the query's
 id are its own and no candidates; a repeated query id
 is one query (its first vector in byte order); ties go
 to the smaller id; empty tables give empty results.  Components must stay below
-2**53 in size and products of lengths below 2**63.
+2**53 in size; products of lengths from 2**63 on are an error.
 """
 
 from __future__ import annotations
@@ -98,6 +98,8 @@ class Searcher:
     def show(self, ids: np.ndarray, block: np.ndarray) -> None:
         x = block.astype(np.float64)
         longest = np.sqrt((x**2).sum(1)).max(initial=0)
+        if self.length.max(initial=0) * longest >= 2**63:
+            raise OverflowError("inner products don't fit 64 bits")
         worst = self.scores[:, -1]
         full = worst > EMPTY
         slack = 1e-9 * self.length * longest + 1e-6
@@ -113,7 +115,7 @@ class Searcher:
             may &= self.ids[part][:, None] != ids[None, :]
             exact = None
             # A sum of products below 2**53 is exact in double precision, in any order.
-            if (np.abs(self.queries[part]).max(initial=0) * np.abs(block).max(initial=0)) * block.shape[1] < 2**53 and may.mean() > 0.05:
+            if float(np.abs(self.queries[part]).max(initial=0)) * float(np.abs(block).max(initial=0)) * block.shape[1] < 2**53 and may.mean() > 0.05:
                 exact = (self.queries[part].astype(np.float64) @ x.T).astype(np.int64)
             for row, q in enumerate(part.tolist()):
                 own = np.flatnonzero(may[row])

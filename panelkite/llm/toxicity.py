@@ -4,7 +4,8 @@ Two zstandard dictionaries are made from labelled text.  The ordinary one is
 trained on windows of ordinary documents.  The toxic one holds the same, and in
 front of it the fragments that are typical of toxic documents: words, or parts
 of words, whose character grams occur in many more toxic documents than
-ordinary ones.  A window of a few words that gets shorter with the toxic
+ordinary ones.  Where a word begins is marked, as the same letters inside a
+word mean little.  A window of a few words that gets shorter with the toxic
 dictionary speaks for toxicity.  How many bytes shorter, in how many windows,
 makes a probability is calibrated by a logistic fit on labelled documents that
 the dictionaries didn't see.
@@ -13,7 +14,7 @@ The labelled sample is bounded in documents and bytes (parameters).  Every
 window of every text is scored.  Null and empty texts have one empty window;
 without labels of both kinds the score is their smoothed share; empty tables
 give empty results; repeated rows get equal scores; other columns pass through
-`score` (its own are toxic_score and toxic_predicted).
+`score` (toxic_score and toxic_predicted are replaced).
 """
 
 from __future__ import annotations
@@ -30,26 +31,37 @@ from pyspark.sql.window import Window
 
 from panelkite.llm import _base
 
-WORDS = 4
+WORDS = 6
 GRAM = 5
+#: Bytes at a word's beginning that are set apart from those inside words.
+HEAD = 5
 #: Labelled documents of either kind, and their bytes, at most.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 4_000, 6_000, 24_000_000
-COMMON, SPECIAL = 8192, 4096
+COMMON, SPECIAL = 16384, 4096
 _LEVEL = 3
 
 
+def marked(text: str | None) -> list[bytes]:
+    """The words in lower case, their beginnings in upper case: a fragment there isn't found inside a word."""
+    return [w[:HEAD].upper() + w[HEAD:] for w in (text or "").lower().encode("utf-8", "surrogatepass").split()]
+
+
 def windows(text: str | None) -> list[bytes]:
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    words = marked(text)
     return [b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, len(words), WORDS)] or [b""]
 
 
 def _grams(text: str | None) -> set[bytes]:
-    raw = b" " + b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split()) + b" "
+    raw = b" " + b" ".join(marked(text)) + b" "
     return {raw[i : i + GRAM] for i in range(len(raw) - GRAM + 1)}
 
 
-def fragments(toxic: list[str], ordinary: list[str], least: int = 5, odds: float = 10.0) -> list[bytes]:
-    """Fragments typical of toxic documents, the most frequent last."""
+def fragments(toxic: list[str], ordinary: list[str], least: int = 4, odds: float = 4.0, sure: float = 5.0) -> list[bytes]:
+    """Fragments typical of toxic documents, the most frequent last.
+
+    Their grams are in `odds` times the share of toxic documents, and by so many
+    standard deviations of a count that happens to be so high.
+    """
     with_, without = Counter(), Counter()
     for t in toxic:
         with_.update(_grams(t))
@@ -57,10 +69,12 @@ def fragments(toxic: list[str], ordinary: list[str], least: int = 5, odds: float
     live = {g for g, n in with_.items() if n >= least}
     for t in ordinary:
         without.update(_grams(t) & live)
-    typical = {g for g in live if (with_[g] + 0.5) / (len(toxic) + 1) >= odds * (without[g] + 0.5) / (len(ordinary) + 1)}
+    ratio = len(toxic) / max(len(ordinary), 1)
+    chance = {g: ratio * without[g] for g in live}
+    typical = {g for g, c in chance.items() if with_[g] + 0.5 >= odds * (c + 0.5 * ratio) and with_[g] - c >= sure * (c + 1) ** 0.5}
     found: Counter[bytes] = Counter()
     for t in toxic:
-        for word in set((t or "").lower().encode("utf-8", "surrogatepass").split()):
+        for word in set(marked(t)):
             raw, at = b" " + word + b" ", 0
             while at <= len(raw) - GRAM:
                 if raw[at : at + GRAM] not in typical:
@@ -90,9 +104,9 @@ class Distance:
         parts = windows(text)
         with_, without = self.toxic.compress, self.ordinary.compress
         gain = np.array([len(without(w)) - len(with_(w)) for w in parts])
-        above = [int((gain >= k).sum()) for k in (2, 3, 4, 5, 6, 8)]
+        above = [int((gain >= k).sum()) for k in (1, 2, 3, 4, 5, 6, 8)]
         n = len(gain)
-        return [float(np.clip(gain.max(), -4, 16)), *[np.log1p(a) for a in above], *[a / n for a in above], *[np.log((a + 0.05) / (n + 20)) for a in above], float(np.log(n))]
+        return [float(np.clip(gain.max(), -4, 16)), float(np.clip(gain.mean(), -2, 2)), *[np.log1p(a) for a in above], *[a / n for a in above], *[np.log((a + 0.05) / (n + 20)) for a in above], float(np.log(n))]
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
@@ -128,9 +142,10 @@ class Model:
         self.content: tuple[bytes, bytes] | None = None
         if min(map(len, kinds)) < 10:
             return
-        self.content = dictionaries(kinds[1][::2], kinds[0][::2])
+        # Every third document is kept apart, to calibrate by.
+        self.content = dictionaries(*[[t for i, t in enumerate(kinds[k]) if i % 3 < 2] for k in (1, 0)])
         distance = Distance(*self.content)
-        apart = [(k, t) for k in (0, 1) for t in kinds[k][1::2]]
+        apart = [(k, t) for k in (0, 1) for t in kinds[k][2::3]]
         self.fit = _logistic(np.array([distance.features(t) for _, t in apart]), np.array([k for k, _ in apart], float))
 
     def scores(self, texts: list[str | None], distance: Distance | None) -> np.ndarray:
@@ -156,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int =
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", **how: object) -> DataFrame:
     """docs with toxic_score and toxic_predicted."""
     model = train(docs, labels, text=text, key=key, **how)
+    docs = docs.drop("toxic_score", "toxic_predicted")
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
