@@ -84,8 +84,10 @@ def rsquare(x: Column, at: Column, over: WindowSpec, expanding: bool) -> Column:
 
 def correlation(a: Column, b: Column, over: WindowSpec) -> Column:
     moves = (F.stddev_samp(a).over(over) > FLAT) & (F.stddev_samp(b).over(over) > FLAT)
-    # Pairs with a missing side don't count.
-    return F.when(moves, known(F.corr(F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)).over(over)))
+    # Pairs with a missing side don't count.  Spark's own corr() fails on a window without variance.
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(a).over(over) * F.stddev_pop(b).over(over)
+    return F.when(moves, F.try_divide(F.covar_pop(a, b).over(over), F.nullif(spread, F.lit(0.0))))
 
 
 def covariance(a: Column, b: Column, over: WindowSpec) -> Column:

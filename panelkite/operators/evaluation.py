@@ -53,6 +53,8 @@ def walk_forward(training: DataFrame, targets: DataFrame, features: Sequence[str
         w, b = ridge(x, y, alpha)
         return wanted.assign(alpha=alpha, forecast=wanted[list(features)].to_numpy(float) @ w + b, benchmark=y.mean())[["issued_at", "alpha", "forecast", "benchmark", "actual"]]
 
+    # Both may come from the same frames: columns of their own keep them apart.
+    training, targets = (df.select([F.col(c).alias(c) for c in df.columns]) for df in (training, targets))
     return training.groupBy("issued_at").cogroup(targets.groupBy("issued_at")).applyInPandas(run, "issued_at timestamp_ntz, alpha double, forecast double, benchmark double, actual double")
 
 

@@ -95,7 +95,6 @@ class Panel:
             out = intraday.row_sets(rows, trees)
         else:
             out = Compiler(rows).add(trees)
-            out = out.select(INSTRUMENT, TIME, SLOT, *[F.col(f"`{n}`") for n in trees]) if trees else out
         out = _between(out, start, end)
         if lists and looked_up:
             out = out.where(F.col(INSTRUMENT).isin(list(instruments)))

@@ -56,7 +56,7 @@ def as_known(periods: DataFrame, expression: Node, fixed: int | None = None) ->
     grid = every.join(latest, [INSTRUMENT, "date", "_at"], "left")
     # Along the periods of each instrument and date: the compiler's instrument is the pair, its slot the period.
     rows = grid.select(F.struct(INSTRUMENT, "date").alias(INSTRUMENT), F.col("date").alias(TIME), F.col("_at").alias(SLOT), "_high", *[F.col(n) for n in names])
-    done = Compiler(rows).add({"value": _as_fields(expression)})
+    done = Compiler(rows).add({"value": _as_fields(expression)}, keep=["_high"])
     wanted = F.col(SLOT) == (F.col("_high") if fixed is None else period_index(F.lit(fixed), quarterly))
     values = done.where(wanted).select(F.col(f"{INSTRUMENT}.{INSTRUMENT}").alias(INSTRUMENT), F.col(TIME).alias("date"), "value")
     return spans.select(INSTRUMENT, "date").join(values, [INSTRUMENT, "date"], "left") if fixed is not None else values

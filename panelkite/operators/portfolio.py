@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelkite.plans.compiler import INSTRUMENT, TIME
 
 #: Periods of a year.
 PERIODS = {"min": 240 * 238, "day": 238, "week": 50, "month": 12}
-SO_FAR = Window.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def so_far() -> WindowSpec:
+    return Window.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def risk_analysis(returns: DataFrame, freq: str = "day", mode: str = "sum", periods: float | None = None) -> DataFrame:
@@ -21,11 +24,11 @@ def risk_analysis(returns: DataFrame, freq: str = "day", mode: str = "sum", peri
     n = float(periods or PERIODS[freq])
     rows = returns.where(F.col("return").isNotNull())
     if mode == "sum":
-        curve = rows.withColumn("_c", F.sum("return").over(SO_FAR)).withColumn("_d", F.col("_c") - F.max("_c").over(SO_FAR))
+        curve = rows.withColumn("_c", F.sum("return").over(so_far())).withColumn("_d", F.col("_c") - F.max("_c").over(so_far()))
         done = curve.agg(F.avg("return").alias("mean"), F.stddev_samp("return").alias("std"), F.min("_d").alias("max_drawdown"))
         done = done.withColumn("annualized_return", F.col("mean") * n)
     elif mode == "product":
-        curve = rows.withColumn("_l", F.log1p("return")).withColumn("_c", F.exp(F.sum("_l").over(SO_FAR))).withColumn("_d", F.col("_c") / F.max("_c").over(SO_FAR) - 1)
+        curve = rows.withColumn("_l", F.log1p("return")).withColumn("_c", F.exp(F.sum("_l").over(so_far()))).withColumn("_d", F.col("_c") / F.max("_c").over(so_far()) - 1)
         done = curve.agg(F.sum("_l").alias("_s"), F.count("_l").alias("_n"), F.stddev_samp("_l").alias("std"), F.min("_d").alias("max_drawdown"))
         done = done.withColumn("mean", F.exp(F.col("_s") / F.col("_n")) - 1).withColumn("annualized_return", F.exp(F.col("_s") * n / F.col("_n")) - 1)
     else:
@@ -38,8 +41,8 @@ def curves(report: DataFrame, cost: str = "cost", bench: str = "bench") -> DataF
     """Running sums of returns with and without cost, of the benchmark and of the excess, and their drawdowns."""
     rows = report.withColumns({"_net": F.col("return") - F.col(cost), "_ex": F.col("return") - F.col(bench), "_exnet": F.col("return") - F.col(bench) - F.col(cost)})
     named = {"return": "return", "return_net": "_net", "bench": bench, "excess": "_ex", "excess_net": "_exnet"}
-    rows = rows.withColumns({f"cum_{k}": F.sum(v).over(SO_FAR) for k, v in named.items()})
-    return rows.select(TIME, *[f"cum_{k}" for k in named], *[(F.col(f"cum_{k}") - F.max(f"cum_{k}").over(SO_FAR)).alias(f"drawdown_{k}") for k in named])
+    rows = rows.withColumns({f"cum_{k}": F.sum(v).over(so_far()) for k, v in named.items()})
+    return rows.select(TIME, *[f"cum_{k}" for k in named], *[(F.col(f"cum_{k}") - F.max(f"cum_{k}").over(so_far())).alias(f"drawdown_{k}") for k in named])
 
 
 def monthly_risk(returns: DataFrame) -> DataFrame:
@@ -87,7 +90,7 @@ def compounded(returns: DataFrame, start: str, end: str) -> DataFrame:
 
 def beta_alpha(returns: DataFrame, periods: int = 250) -> DataFrame:
     """One row: beta and yearly alpha of `return` on `bench`, Sharpe ratio, volatility, and drawdown of the compounded curve."""
-    rows = returns.withColumn("_c", F.exp(F.sum(F.log1p("return")).over(SO_FAR))).withColumn("_d", F.col("_c") / F.max("_c").over(SO_FAR) - 1)
+    rows = returns.withColumn("_c", F.exp(F.sum(F.log1p("return")).over(so_far()))).withColumn("_d", F.col("_c") / F.max("_c").over(so_far()) - 1)
     done = rows.agg(F.try_divide(F.covar_samp("return", "bench"), F.var_samp("bench")).alias("beta"), F.avg("return").alias("_r"), F.avg("bench").alias("_b"), F.stddev_samp("return").alias("_s"), F.min("_d").alias("max_drawdown"))
     yearly = periods**0.5
     return done.select("beta", ((F.col("_r") - F.col("beta") * F.col("_b")) * periods).alias("alpha"), (F.try_divide(F.col("_r"), F.nullif(F.col("_s"), F.lit(0.0))) * yearly).alias("sharpe"), (F.col("_s") * yearly).alias("volatility"), "max_drawdown")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelkite.functions.elementwise import finite, known, number
@@ -18,7 +18,10 @@ from panelkite.plans.compiler import INSTRUMENT, TIME
 
 #: A normal distribution's deviation from its median absolute one, and that of a uniform rank.
 MAD_SCALE, RANK_SCALE, TINY = 1.4826, 3.46, 1e-12
-DATE = Window.partitionBy(TIME)
+
+
+def on_date() -> WindowSpec:
+    return Window.partitionBy(TIME)
 
 
 class Processor:
@@ -85,7 +88,7 @@ class FillInfinite(Processor):
     columns: Sequence[str]
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        return _each(df, self.columns, lambda x, _: F.when(x.isin(float("inf"), float("-inf")), F.avg(finite(x)).over(DATE)).otherwise(x))
+        return _each(df, self.columns, lambda x, _: F.when(x.isin(float("inf"), float("-inf")), F.avg(finite(x)).over(on_date())).otherwise(x))
 
 
 @dataclass
@@ -181,11 +184,11 @@ class DateZScore(Processor):
 
     def __call__(self, df: DataFrame) -> DataFrame:
         if self.method == "zscore":
-            return _each(df, self.columns, lambda x, _: F.try_divide(known(number(x)) - F.avg(known(number(x))).over(DATE), F.nullif(F.stddev_samp(known(number(x))).over(DATE), F.lit(0.0))))
+            return _each(df, self.columns, lambda x, _: F.try_divide(known(number(x)) - F.avg(known(number(x))).over(on_date()), F.nullif(F.stddev_samp(known(number(x))).over(on_date()), F.lit(0.0))))
         if self.method != "robust":
             raise ValueError(f"{self.method} isn't zscore or robust")
-        off = _each(df, self.columns, lambda x, _: known(number(x)) - F.percentile(known(number(x)), F.lit(0.5)).over(DATE))
-        spread = _each(off, self.columns, lambda x, _: F.try_divide(x, F.nullif(F.percentile(F.abs(x), F.lit(0.5)).over(DATE) * MAD_SCALE, F.lit(0.0))))
+        off = _each(df, self.columns, lambda x, _: known(number(x)) - F.percentile(known(number(x)), F.lit(0.5)).over(on_date()))
+        spread = _each(off, self.columns, lambda x, _: F.try_divide(x, F.nullif(F.percentile(F.abs(x), F.lit(0.5)).over(on_date()) * MAD_SCALE, F.lit(0.0))))
         return _each(spread, self.columns, lambda x, _: _cut(x))
 
 
@@ -193,7 +196,7 @@ def date_rank(x: Column) -> Column:
     """A value's percentile rank among its date's values, ties averaged; missing ones don't count."""
     here = Window.partitionBy(TIME, x.isNull()).orderBy(x)
     ties = F.count(F.lit(1)).over(Window.partitionBy(TIME, x))
-    return F.when(x.isNotNull(), (F.rank().over(here) + (ties - 1) / 2) / F.count(x).over(DATE))
+    return F.when(x.isNotNull(), (F.rank().over(here) + (ties - 1) / 2) / F.count(x).over(on_date()))
 
 
 @dataclass
@@ -213,7 +216,7 @@ class DateFill(Processor):
     columns: Sequence[str]
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        return _each(df, self.columns, lambda x, _: F.coalesce(known(number(x)), F.avg(known(number(x))).over(DATE)))
+        return _each(df, self.columns, lambda x, _: F.coalesce(known(number(x)), F.avg(known(number(x))).over(on_date())))
 
 
 @dataclass
@@ -307,14 +310,14 @@ class FamilyNorm(Processor):
     fill_label: bool = False
 
     def _scaled(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        off = _each(df, columns, lambda x, _: x - F.percentile(x, F.lit(0.5)).over(DATE))
-        scaled = _each(off, columns, lambda x, _: F.try_divide(x, F.nullif(F.percentile(F.abs(x), F.lit(0.5)).over(DATE) * MAD_SCALE, F.lit(0.0))))
+        off = _each(df, columns, lambda x, _: x - F.percentile(x, F.lit(0.5)).over(on_date()))
+        scaled = _each(off, columns, lambda x, _: F.try_divide(x, F.nullif(F.percentile(F.abs(x), F.lit(0.5)).over(on_date()) * MAD_SCALE, F.lit(0.0))))
         if self.clip:
             scaled = _each(scaled, columns, lambda x, _: _cut(x))
         if self.shrink:
             # What is over 3 is brought into half a unit, the largest to its end; then the same below.
-            over = lambda x, _: F.when(x > 3, 3 + F.try_divide(x - 3, F.max(x).over(DATE) - 3) * 0.5).otherwise(x)
-            under = lambda x, _: F.when(x < -3, -3 - F.try_divide(x + 3, F.min(x).over(DATE) + 3) * 0.5).otherwise(x)
+            over = lambda x, _: F.when(x > 3, 3 + F.try_divide(x - 3, F.max(x).over(on_date()) - 3) * 0.5).otherwise(x)
+            under = lambda x, _: F.when(x < -3, -3 - F.try_divide(x + 3, F.min(x).over(on_date()) + 3) * 0.5).otherwise(x)
             scaled = _each(_each(scaled, columns, over), columns, under)
         return _each(scaled, columns, lambda x, _: F.coalesce(x, F.lit(0.0))) if self.fill else scaled
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelkite.operators.processors import date_rank
 from panelkite.plans.compiler import INSTRUMENT, TIME
 
-DATE = Window.partitionBy(TIME)
+
+def on_date() -> WindowSpec:
+    return Window.partitionBy(TIME)
 
 
 def ic(signal: DataFrame, keys: Sequence[str] = (), ranks: bool = True) -> DataFrame:
@@ -30,8 +32,8 @@ def ic(signal: DataFrame, keys: Sequence[str] = (), ranks: bool = True) -> DataF
 
 
 def _correlation(a: str, b: str) -> Column:
-    flat = (F.stddev_pop(a) == 0) | (F.stddev_pop(b) == 0)
-    return F.when(~flat, F.corr(a, b))
+    """Spark's own corr() fails where there is no variance.  Both columns are complete."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
 def ic_summary(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -43,16 +45,16 @@ def ic_summary(daily: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def _ends(signal: DataFrame, share: float, drop: bool) -> DataFrame:
     """signal with the place of each score from either end, and the number of rows taken."""
     rows = signal.where("score IS NOT NULL AND label IS NOT NULL") if drop else signal
-    order = DATE.orderBy(F.col("score").desc_nulls_last(), INSTRUMENT)
-    back = DATE.orderBy(F.col("score").asc_nulls_last(), INSTRUMENT)
-    take = F.floor(F.count(F.lit(1)).over(DATE) * F.lit(share))
+    order = on_date().orderBy(F.col("score").desc_nulls_last(), INSTRUMENT)
+    back = on_date().orderBy(F.col("score").asc_nulls_last(), INSTRUMENT)
+    take = F.floor(F.count(F.lit(1)).over(on_date()) * F.lit(share))
     return rows.withColumns({"_top": F.row_number().over(order), "_low": F.row_number().over(back), "_k": take})
 
 
 def long_short_precision(signal: DataFrame, share: float = 0.2, drop: bool = False, alpha: bool = False) -> DataFrame:
     """(datetime, long_precision, short_precision): of the best and worst scores, how many labels are above or below zero."""
     if alpha:
-        signal = signal.withColumn("label", F.col("label") - F.avg("label").over(DATE))
+        signal = signal.withColumn("label", F.col("label") - F.avg("label").over(on_date()))
     rows = _ends(signal, share, drop)
     long, short = F.col("_top") <= F.col("_k"), F.col("_low") <= F.col("_k")
     part = lambda end, hit: F.try_divide(F.count(F.when(end & hit, 1)), F.nullif(F.count(F.when(end, F.col("label"))), F.lit(0)))
@@ -86,8 +88,8 @@ def autocorrelation(signal: DataFrame, lag: int = 1, ranks: bool = False) -> Dat
 def group_returns(signal: DataFrame, groups: int = 5) -> DataFrame:
     """(datetime, group1, ..., long_short, long_average): mean labels of equal groups by descending score; rows over are in none."""
     rows = signal.where("score IS NOT NULL AND label IS NOT NULL")
-    size = F.floor(F.count(F.lit(1)).over(DATE) / groups)
-    place = F.row_number().over(DATE.orderBy(F.desc("score"), INSTRUMENT)) - 1
+    size = F.floor(F.count(F.lit(1)).over(on_date()) / groups)
+    place = F.row_number().over(on_date().orderBy(F.desc("score"), INSTRUMENT)) - 1
     rows = rows.withColumn("_g", F.floor(F.try_divide(place, size)))
     means = [F.avg(F.when(F.col("_g") == g, F.col("label"))).alias(f"group{g + 1}") for g in range(groups)]
     out = rows.groupBy(TIME).agg(*means, F.avg("label").alias("_all"))
@@ -96,11 +98,11 @@ def group_returns(signal: DataFrame, groups: int = 5) -> DataFrame:
 
 def turnover(signal: DataFrame, groups: int = 5, lag: int = 1) -> DataFrame:
     """(datetime, top, bottom): the share of the best and worst group that wasn't there `lag` dates earlier."""
-    size = F.floor(F.count(F.lit(1)).over(DATE) / groups)
+    size = F.floor(F.count(F.lit(1)).over(on_date()) / groups)
     rows = signal.withColumns(
         {
-            "_top": F.row_number().over(DATE.orderBy(F.desc_nulls_last("score"), INSTRUMENT)) <= size,
-            "_low": F.row_number().over(DATE.orderBy(F.asc_nulls_last("score"), INSTRUMENT)) <= size,
+            "_top": F.row_number().over(on_date().orderBy(F.desc_nulls_last("score"), INSTRUMENT)) <= size,
+            "_low": F.row_number().over(on_date().orderBy(F.asc_nulls_last("score"), INSTRUMENT)) <= size,
             "_size": size,
         }
     )
@@ -128,8 +130,8 @@ def rolling_ensemble(predictions: DataFrame, start: str = "start") -> DataFrame:
 
 def long_short_backtest(signal: DataFrame, k: int) -> DataFrame:
     """(datetime, long, short, long_short): mean excess label of the k best, of the k worst turned round, and both."""
-    order = DATE.orderBy(F.desc_nulls_last("score"), INSTRUMENT)
-    back = DATE.orderBy(F.asc_nulls_last("score"), INSTRUMENT)
+    order = on_date().orderBy(F.desc_nulls_last("score"), INSTRUMENT)
+    back = on_date().orderBy(F.asc_nulls_last("score"), INSTRUMENT)
     rows = signal.withColumns({"_top": F.row_number().over(order), "_low": F.row_number().over(back)})
     every = F.avg("label")
     long = F.avg(F.when(F.col("_top") <= k, F.col("label"))) - every
@@ -155,5 +157,5 @@ def diagnostics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def top_k(signal: DataFrame, k: int, best: bool = True) -> DataFrame:
-    order = DATE.orderBy(F.desc_nulls_last("score") if best else F.asc_nulls_last("score"), INSTRUMENT)
+    order = on_date().orderBy(F.desc_nulls_last("score") if best else F.asc_nulls_last("score"), INSTRUMENT)
     return signal.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

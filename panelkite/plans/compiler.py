@@ -9,7 +9,7 @@ their number.  Arithmetic in between stays inside generated code.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,8 +167,8 @@ class Compiler:
             over = frame(int(size.value))
         return _AGGREGATES[str(func.value)](e.finite(e.number(x))).over(over)
 
-    def add(self, wanted: Mapping[str, Node]) -> DataFrame:
-        """The panel with a column for each expression."""
+    def add(self, wanted: Mapping[str, Node], keep: Sequence[str] = ()) -> DataFrame:
+        """The panel's keys, some of its columns, and a column for each expression."""
         every = list(dict.fromkeys(n for root in wanted.values() for n in root.walk()))
         top = max(map(self.level, wanted.values()), default=0)
         df = self.panel
@@ -184,7 +184,7 @@ class Compiler:
                 columns = {name: self.column(n) for name, n in fresh.items()}
                 df = df.withColumns(columns)
                 self.done |= {n: name for name, n in fresh.items()}
-        return df.select(*self.panel.columns, *[self.column(n).alias(name) for name, n in wanted.items()])
+        return df.select(INSTRUMENT, TIME, SLOT, *keep, *[self.column(n).alias(name) for name, n in wanted.items()])
 
     def _lookup(self, df: DataFrame, node: Call) -> DataFrame:
         """Another instrument's values at the same slots: one instrument's slots, so the side is small."""

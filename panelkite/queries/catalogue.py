@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkite.queries import expressions
+from panelkite.queries import analysis, expressions, panels
 
-_MODULES = (expressions,)
+_MODULES = (expressions, panels, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,7 +35,7 @@ ROW = {
     "add": ("$close+$open", "close + open"),
     "sub": ("$close-$open", "close - open"),
     "mul": ("$close*$volume", "close * volume"),
-    "div": ("($close-Ref($close,1))/($volume-Ref($volume,1))", "CASE WHEN volume <> v1 THEN (close - c1) / (volume - v1) WHEN close > c1 THEN 'inf'::DOUBLE WHEN close < c1 THEN '-inf'::DOUBLE END"),
+    "div": ("($volume-Ref($volume,1))/($close-$open)", "CASE WHEN close <> open THEN (volume - v1) / (close - open) WHEN volume > v1 THEN 'inf'::DOUBLE WHEN volume < v1 THEN '-inf'::DOUBLE END"),
     "greater": ("Greater($close,Ref($close,1))", "CASE WHEN c1 IS NOT NULL THEN greatest(close, c1) END"),
     "less": ("Less($close,Ref($close,1))", "CASE WHEN c1 IS NOT NULL THEN least(close, c1) END"),
     "gt": ("$close>Ref($close,1)", "coalesce(close > c1, false)"),
@@ -140,7 +140,7 @@ _LAGGED = """l AS (
 
 
 def _row_sql(name: str, expression: str) -> str:
-    value = expression if name in _TEXT else f"round({expression}, {3 if name == 'div' else 6})"
+    value = expression if name in _TEXT else f"round({expression}, 6)"
     return f"WITH {sql.DENSE}, {_LAGGED} SELECT instrument, datetime, {value} AS v FROM l"
 
 
@@ -202,7 +202,7 @@ SIZES = (5, 20)
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {"flagship_mean_ratio": _query({"v": "Mean($close,5)/$close"}, tables.spine_panel, 6)}
     for name, (expression, _) in {**ROW, **ROLLING, **LISTS}.items():
-        out[name] = _query({"v": expression}, tables.dense_panel, 3 if name == "div" else 6)
+        out[name] = _query({"v": expression}, tables.dense_panel, 6)
     for name, (expression, _) in ROLLING.items():
         if name in ("roll_std", "roll_max", "roll_slope", "roll_count", "roll_quantile"):
             out[f"{name}_spine"] = _query({"v": expression}, tables.spine_panel, 6)
