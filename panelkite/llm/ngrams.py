@@ -50,9 +50,9 @@ _CELLS = 1 << 14
 #: Keys that a task gathers before it hands them on.
 _HELD = 1 << 20
 #: Members of a pivot from which on blocks are compared, and their size.
-HOT, BLOCK = 96, 1024
-#: Partners in other components that a member asks for in each round; in the last, all.
-ROUNDS = (2, 2, None)
+HOT, BLOCK = 400, 1024
+#: Partners in other components that a member asks for in each round; in the last, all that are possible.
+ROUNDS = (2, None)
 #: Stands for a null id.
 _NO_ID = -(1 << 63)
 
