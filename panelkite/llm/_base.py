@@ -73,6 +73,13 @@ def crc(value: object) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    nodes = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = nodes.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the undirected edges (u, v): root is the smallest node of the component.
 
@@ -81,12 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
     each round is a table in the shared folder.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
-        check = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if check["n"] == 0 or (check["n"], check["h"]) == seen:
-            break
-        seen = (check["n"], check["h"])
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -17,10 +17,9 @@ Candidates of a key are first its members with the smallest one, its pivot (one
 row a member, however large the key), verified and united.  Keys whose members
 are then still of several components give the pairs between components.  Keys
 of one pivot with many members are taken together: the pivot's members are
-dealt into blocks, and pairs of blocks are compared by bitmaps, first for the
-nearest partners in other components, at last for all that are possible.  A
-set's bitmap bounds its overlaps from above, and verification compares whole
-sets.
+dealt into blocks, and pairs of blocks are compared, by bitmaps first, where
+components differ.  A set's bitmap bounds its overlaps from above, and
+verification compares whole sets.
 
 Tokens are 64-bit hashes of five words, classes 64-bit hashes of sets.  Null
 and empty texts have no tokens and link with nothing; fewer than five words are
@@ -51,8 +50,6 @@ _CELLS = 1 << 14
 _HELD = 1 << 20
 #: Members of a pivot from which on blocks are compared, and their size.
 HOT, BLOCK = 400, 1024
-#: Partners in other components that a member asks for in each round; in the last, all that are possible.
-ROUNDS = (2, None)
 #: Stands for a null id.
 _NO_ID = -(1 << 63)
 
@@ -218,9 +215,9 @@ def shared_keys(docs: DataFrame, sketch: np.ndarray, text: str = "text", percent
     return _base.stored(met, "keys")
 
 
-def _bitmap(tokens: np.ndarray) -> bytes:
+def _bitmap(tokens: np.ndarray, wide: int = 2) -> bytes:
     bits = 64
-    while bits < 8 * len(tokens):
+    while bits < wide * len(tokens):
         bits *= 2
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -294,22 +291,25 @@ def _folded(rows: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def block_pairs(members: DataFrame, limit: int | None, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b) of different components in a pivot's members (pivot, sig, n, bits, root) whose bitmaps allow a link.
+def block_links(members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join the components of a pivot's members (pivot, sig, root, tokens).
 
-    With a limit, each member's nearest only.
+    Two blocks of members are compared at a time, and each pair whose components
+    are still apart is verified if its bitmaps allow a link.
     """
     sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_many"), F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select(F.col("pivot").alias("_p"), "_many")
     rows = members.join(sizes, F.col("pivot") == F.col("_p")).withColumn("_block", F.pmod(F.xxhash64("sig"), F.col("_many")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
-    rows = rows.select("pivot", "sig", "n", "bits", "root", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
+    rows = rows.select("pivot", "sig", "root", "tokens", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         low, high = key[1].as_py(), key[2].as_py()
-        own, sig, n, root = (np.array(table.column(c).to_pylist(), np.int64) for c in ("_block", "sig", "n", "root"))
-        bits = table.column("bits").to_pylist()
+        own, sig, root = (np.array(table.column(c).to_pylist(), np.int64) for c in ("_block", "sig", "root"))
+        sets = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
+        n = np.array([len(t) for t in sets])
+        bits = [_bitmap(t, 16) for t in sets]
         words = np.array([len(b) // 8 for b in bits])
-        out_a, out_b = [], []
+        forest, links = _base.Forest(), []
         for wide in np.unique(words):
             left = np.flatnonzero((own == low) & (words == wide))
             for narrow in np.unique(words):
@@ -320,7 +320,7 @@ def block_pairs(members: DataFrame, limit: int | None, percent: int = PERCENT, b
                 x, y = _folded([bits[i] for i in left], m), _folded([bits[i] for i in right], m)
                 for i, row in zip(left.tolist(), x, strict=True):
                     fit = (root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
-                    if low == high and limit is None:
+                    if low == high:
                         fit &= sig[right] > sig[i]
                     at = np.flatnonzero(fit)
                     if not len(at):
@@ -328,14 +328,16 @@ def block_pairs(members: DataFrame, limit: int | None, percent: int = PERCENT, b
                     shared = (n[right[at]] + n[i] - np.bitwise_count(y[at] ^ row).sum(axis=1).astype(np.int64)) // 2
                     may = 100 * shared >= percent * (n[right[at]] + n[i] - shared)
                     at, shared = at[may], shared[may]
-                    if limit is not None and len(at) > limit:
-                        at = at[np.argsort(shared / (n[right[at]] + n[i]), kind="stable")[::-1][:limit]]
-                    out_a.append(np.minimum(sig[right[at]], sig[i]))
-                    out_b.append(np.maximum(sig[right[at]], sig[i]))
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    # The likeliest first, as one link makes others needless.
+                    for j in right[at[np.argsort(shared / (n[right[at]] + n[i]), kind="stable")[::-1]]].tolist():
+                        if forest.find(int(root[i])) == forest.find(int(root[j])):
+                            continue
+                        if _may(int(n[i]), int(n[j]), len(np.intersect1d(sets[i], sets[j], assume_unique=True)), percent):
+                            forest.link(int(root[i]), int(root[j]))
+                            links.append((int(sig[i]), int(sig[j])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return rows.groupBy("pivot", "_low", "_high").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("pivot", "_low", "_high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -372,13 +374,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int
     sets = sets_of(ends(may).unionByName(crowd.select("sig")))
     links = _base.stored(verified(may, sets, percent), "links")
     roots = united(links)
-
-    crowd = _base.stored(crowd.join(groups.select("sig", "n", "bits"), "sig"), "crowd")
-    if crowd.head() is not None:
-        for limit in ROUNDS:
-            near = block_pairs(placed(crowd, roots), limit, percent)
-            links = links.unionByName(_base.stored(verified(near, sets, percent), "links"))
-            roots = united(links)
+    links = links.unionByName(_base.stored(block_links(placed(crowd, roots).join(sets, "sig"), percent), "links"))
     _base.discard(sets)
 
     # What is left: pairs between components of a key.
