@@ -168,11 +168,11 @@ def twap_vwap(s: SparkSession, d: str) -> DataFrame:
 def _deals(s: SparkSession, d: str) -> DataFrame:
     items = tables.table(s, d, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return items.select(F.col("l_shipdate").alias(TIME), F.col("l_suppkey").alias(INSTRUMENT), F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("direction"), F.col("l_quantity").alias("amount"), (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("deal_amount"), price.alias("price"), F.lit(1000.0).alias("base_price"))
+    return items.select(F.col("l_shipdate").alias(TIME), F.col("l_suppkey").alias(INSTRUMENT), F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("direction"), F.col("l_quantity").alias("amount"), (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("deal_amount"), price.alias("price"), F.lit(1234.567).alias("base_price"))
 
 
 def price_advantage(s: SparkSession, d: str) -> DataFrame:
-    return rounded(portfolio.price_advantage(_deals(s, d)), 9)
+    return rounded(portfolio.price_advantage(_deals(s, d)))
 
 
 def indicator_analysis(s: SparkSession, d: str) -> DataFrame:
@@ -354,7 +354,7 @@ w AS (SELECT datetime, instrument, instrument % 5 AS g, r, volume / sum(volume)
     bars = "arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, round(sum(value), 4) AS volume, count(value) AS n"
     tops = "SELECT datetime, instrument, round(score, 6) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY datetime ORDER BY score{0}, instrument) AS place FROM signal WHERE score IS NOT NULL) WHERE place <= 3"
     deals = """d AS (SELECT l_shipdate AS datetime, l_suppkey AS instrument, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS direction, sum(l_quantity) AS a,
-  sum(l_quantity * (1 - l_discount)) AS x, sum(l_extendedprice / l_quantity * (l_quantity * (1 - l_discount))) AS v, sum(1000.0 * (l_quantity * (1 - l_discount))) AS w FROM lineitem GROUP BY 1, 2, 3),
+  sum(l_quantity * (1 - l_discount)) AS x, sum(l_extendedprice / l_quantity * (l_quantity * (1 - l_discount))) AS v, sum(1234.567 * (l_quantity * (1 - l_discount))) AS w FROM lineitem GROUP BY 1, 2, 3),
 pa AS (SELECT datetime, instrument, direction, x / a AS ffr, -direction * ((v / x) / (w / x) - 1) AS pa FROM d)"""
     fitted = lambda value: f"WITH {_XY}, {_FITTED} SELECT instrument, datetime, {', '.join(f'round({value.replace("{c}", c)}, 5) AS {c}' for c in 'xy')} FROM r"
     of = lambda f: f"(SELECT {f}({{c}}) FROM fit)"
@@ -424,7 +424,7 @@ SELECT datetime, round(q2 - q1, 6) AS raa, round(q3 - q1, 6) AS rss, round(q4 -
 z AS (SELECT *, (score - avg(score) OVER v) / nullif(stddev_samp(score) OVER v, 0) AS z FROM m WINDOW v AS (PARTITION BY datetime, model)) SELECT datetime, instrument, round(avg(z), 5) AS score FROM z GROUP BY 1, 2""",
         "rolling_ensemble": f"WITH {sql.SIGNAL} SELECT datetime, instrument, round(CASE WHEN year(datetime) >= 1997 THEN score + 1 ELSE score END, 6) AS score FROM signal WHERE score IS NOT NULL",
         "twap_vwap": "SELECT user_id AS instrument, CAST(ts AS DATE) AS day, round(avg(value), 8) AS twap, round(sum(value * length(event_type)) / sum(length(event_type)), 8) AS vwap FROM events GROUP BY 1, 2",
-        "price_advantage": f"WITH {deals} SELECT datetime, instrument, direction, round(ffr, 9) AS ffr, round(pa, 9) AS pa FROM pa",
+        "price_advantage": f"WITH {deals} SELECT datetime, instrument, direction, round(ffr, 6) AS ffr, round(pa, 6) AS pa FROM pa",
         "indicator_analysis": f"WITH {deals} SELECT round(avg(ffr), 6) AS ffr, round(avg(pa), 6) AS pa, round(avg(CASE WHEN pa > 0 THEN 1.0 ELSE 0.0 END), 6) AS pos FROM pa",
         "position_returns": f"""{weighted}, s AS (SELECT datetime, CASE WHEN pw IS NULL THEN 'out' ELSE 'hold' END AS status, sum(bw * r) / sum(bw) AS r FROM w WHERE r IS NOT NULL GROUP BY 1, 2)
 SELECT datetime, status, round(sum(r) OVER (PARTITION BY status ORDER BY datetime), 4) AS cum_return FROM s""",
