@@ -112,8 +112,8 @@ def turnover(signal: DataFrame, groups: int = 5, lag: int = 1) -> DataFrame:
 
 
 def monthly_ic(daily: DataFrame) -> DataFrame:
-    """(year, m1, ..., m12) of the mean ic."""
-    return daily.groupBy(F.year(TIME).alias("year")).pivot("_m", list(range(1, 13))).agg(F.avg("ic")) if "_m" in daily.columns else monthly_ic(daily.withColumn("_m", F.month(TIME)))
+    """(year, 1, ..., 12): the mean ic of each month."""
+    return daily.withColumn("_m", F.month(TIME)).groupBy(F.year(TIME).alias("year")).pivot("_m", list(range(1, 13))).agg(F.avg("ic"))
 
 
 def average_ensemble(predictions: DataFrame, model: str = "model") -> DataFrame:

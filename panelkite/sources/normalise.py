@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelkite.plans.compiler import INSTRUMENT, TIME
 
 PRICES = ("open", "high", "low", "close")
-ORDER = Window.partitionBy(INSTRUMENT).orderBy(TIME)
-SO_FAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy(INSTRUMENT).orderBy(TIME)
+
+
+def so_far() -> WindowSpec:
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def mask_untraded(rows: DataFrame, columns: Sequence[str] = (*PRICES, "volume")) -> DataFrame:
@@ -22,8 +28,8 @@ def mask_untraded(rows: DataFrame, columns: Sequence[str] = (*PRICES, "volume"))
 
 def change(close: str = "close") -> Column:
     """The carried close's relative change to the row before."""
-    carried = F.last(close, ignorenulls=True).over(SO_FAR)
-    before = F.last(close, ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.last(close, ignorenulls=True).over(so_far())
+    before = F.last(close, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     return F.try_divide(carried, before) - 1
 
 
@@ -39,14 +45,14 @@ def repair_hundredfold(rows: DataFrame, rounds: int = 10) -> DataFrame:
 
 def adjust(rows: DataFrame, adjusted: str = "adjclose") -> DataFrame:
     """Prices times factor and volume by factor; the factor is adjusted by plain close, carried on."""
-    factor = F.last(F.try_divide(F.col(adjusted), F.col("close")), ignorenulls=True).over(SO_FAR)
+    factor = F.last(F.try_divide(F.col(adjusted), F.col("close")), ignorenulls=True).over(so_far())
     rows = rows.withColumn("factor", F.coalesce(factor, F.lit(1.0)))
     return rows.withColumns({**{c: F.col(c) * F.col("factor") for c in PRICES}, "volume": F.try_divide(F.col("volume"), F.col("factor"))})
 
 
 def rebase(rows: DataFrame) -> DataFrame:
     """Prices by the first valid close, volume times it."""
-    whole = ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = in_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("_base", F.first("close", ignorenulls=True).over(whole))
     return rows.withColumns({**{c: F.try_divide(F.col(c), F.col("_base")) for c in PRICES}, "volume": F.col("volume") * F.col("_base")}).drop("_base")
 
@@ -64,7 +70,7 @@ def splice(old: DataFrame, new: DataFrame) -> DataFrame:
 def traded_days(rows: DataFrame) -> DataFrame:
     """rows with paused_num: how many days in a row, this one included, something was traded (0 where nothing was)."""
     traded = F.coalesce(F.col("volume") > 0, F.lit(False))
-    run = F.sum(F.when(traded, 0).otherwise(1)).over(SO_FAR)
+    run = F.sum(F.when(traded, 0).otherwise(1)).over(so_far())
     rows = rows.withColumn("_run", run).withColumn("_traded", traded)
     inside = Window.partitionBy(INSTRUMENT, "_run").orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("paused_num", F.sum(F.col("_traded").cast("int")).over(inside)).drop("_run", "_traded")
