@@ -3,11 +3,9 @@
 `CharMap` walks the model's compiled character map (a double-array trie behind
 its size, then zero-terminated replacements): at each place the longest key is
 replaced, and for every normalised byte the source byte it comes from is
-recorded.  Without a map only spaces change.  The normalised text is cut where
-no piece of the vocabulary can reach across (before a space mark, around a line
-feed), each part is encoded once a worker by the library, and the pieces'
-lengths, added up, are projected through the alignment to byte spans of the
-original text.
+recorded.  Without a map only spaces change.  The library encodes the normalised
+text, and the pieces' lengths, added up, are projected through the alignment to
+byte spans of the original text.
 
 Null texts count as empty and give the end id alone.  Empty tables give empty
 results, repeated rows are separate rows, a text of any length is encoded
@@ -17,7 +15,6 @@ whole, and columns besides key and text are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,8 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from panelkite.llm import _base
 
 MARK = "▁"
-#: Parts a worker remembers before it starts afresh (about 50 MB).
-REMEMBERED = 300_000
 
 
 def model_path() -> str:
@@ -101,46 +96,22 @@ class PieceCodec:
             raise ValueError("a BPE model with a dummy prefix, escaped and kept spaces is needed")
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.map = CharMap(norm.precompiled_charsmap)
-        # A part that was normalised here must not be normalised again.
-        norm.precompiled_charsmap = b""
-        self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.plain = self.lib
+        if norm.precompiled_charsmap:
+            # A text that was normalised here must not be normalised again.
+            norm.precompiled_charsmap = b""
+            self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         names = [self.lib.id_to_piece(i) for i in range(self.lib.vocab_size())]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in names if len(p) > 1):
-            raise ValueError("pieces reach across spaces or line feeds")
-        if len(names) > 1 << 16:
-            raise ValueError("ids don't fit 16 bits")
         self.size = np.array([1 if self.lib.is_byte(i) else len(p.encode()) for i, p in enumerate(names)], np.int64)
         self.size[self.lib.eos_id()] = 0
-        self.mark = np.array([self.lib.piece_to_id(MARK)], np.uint16).tobytes()
-        self.end = np.array([self.lib.eos_id()], np.uint16).tobytes()
         self.digits = [str(i) for i in range(len(names))]
-        self.parts = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        # The library puts one space mark before what it is given.
-        marked = [p for p in new if p[0] == MARK and len(p) > 1]
-        others = [p for p in new if p[0] != MARK]
-        for p, ids in zip(marked, self.plain.encode([p[1:] for p in marked], num_threads=1), strict=True):
-            self.known[p] = np.array(ids, np.uint16).tobytes()
-        # After a line feed there is no merging with what stands before it.
-        for p, ids in zip(others, self.plain.encode(["\n" + p for p in others], num_threads=1), strict=True):
-            self.known[p] = np.array(ids[2:], np.uint16).tobytes()
-        self.known[MARK] = self.mark
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids with the end id, byte offsets): piece i covers offsets[i]:offsets[i+1] of the text's UTF-8."""
         normal = [self.map.normalise(t or "") for t in texts]
-        rows = [self.parts(MARK + raw.decode().replace(" ", MARK)) if raw else [] for raw, _ in normal]
-        new = {p for parts in rows for p in parts}.difference(self.known)
-        if new:
-            self._learn(sorted(new))
-            if len(new) < sum(map(len, rows)) and (gone := {p for parts in rows for p in parts}.difference(self.known)):
-                self._learn(sorted(gone))
-        for parts, (raw, source) in zip(rows, normal, strict=True):
-            ids = np.frombuffer(b"".join(map(self.known.__getitem__, parts)) + self.end, np.uint16)
+        coded = self.plain.encode([raw.decode() for raw, _ in normal], num_threads=1)
+        for own, (raw, source) in zip(coded, normal, strict=True):
+            ids = np.array([*own, self.lib.eos_id()], np.int32)
             at = np.concatenate(([0], np.cumsum(self.size[ids])))
             yield ids, source[self._unescaped(raw)[at]]
 
@@ -164,7 +135,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
         for batch in _base.slices(batches, 128):
             done = list(codec.encode(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.astype(np.int32) for i, _ in done], pa.list_(pa.int32())), pa.array([o for _, o in done], pa.list_(pa.int64()))],
+                [batch.column(0), pa.array([i for i, _ in done], pa.list_(pa.int32())), pa.array([o for _, o in done], pa.list_(pa.int64()))],
                 names=["key", "pieces", "offsets"],
             )
 

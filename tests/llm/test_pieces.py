@@ -47,16 +47,6 @@ def test_query(spark, sf_dir, texts):
         assert r["decoded_sha256"] == hashlib.sha256(LIB.decode(ids).encode()).hexdigest()
 
 
-def test_memory_of_parts_is_bounded(monkeypatch):
-    monkeypatch.setattr(pieces, "REMEMBERED", 20)
-    codec = pieces.PieceCodec(pieces.model_path())
-    texts = [f"some words {i} and {i * 7}" for i in range(50)]
-    assert [ids.tolist() for ids, _ in codec.encode(texts)] == [LIB.encode(t) + [2] for t in texts]
-    for t in texts:
-        ((ids, _),) = codec.encode([t])
-        assert ids.tolist() == LIB.encode(t) + [2]
-
-
 def double_array(keys):
     """A compiled character map of the form that models hold: trie units, then replacements."""
     import struct
