@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
 #: Bytes that are hashed at a time; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 #: Fixed by the contract: words are separated by space and \x09 to \x0D.
 SPACE = np.zeros(256, bool)
