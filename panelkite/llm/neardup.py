@@ -1,20 +1,23 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by sorted projection passes, completed by exact comparison.
 
-In each pass every unit vector gets the signs of many random projections as one
-long binary key, most significant first, so the vectors' lexicographic order
-brings neighbours together; each is compared with a bounded window of the next
-ones.  A pass's links are cut down to a forest as they are found, and the
-forests of all passes are united.  As windows see few of the links of a large
-group, the members of every united component are then compared with each other
-in blocks, which only add up each vector's number of links: no pairs are
-written, and no task has more than two blocks.
+Equal vectors are collapsed first.  In each pass every unit vector gets the
+signs of many random projections as one long binary key, most significant
+first, so the vectors' lexicographic order brings neighbours together; each is
+compared with a bounded window of the next ones.  A pass's links are cut down to
+a forest as they are found, and the forests of all passes are united.
+
+Windows miss links, the more the larger the table.  So every vector is then
+compared with every other: the vectors come in broadcast chunks of bounded
+bytes, each shown to all rows, in single precision where that decides and in
+double where it doesn't.  This counts all links and adds those between the
+components of the windows; no pairs are written.  Its time is quadratic in the
+number of different vectors; memory and disk aren't.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing and are their own component, as are vectors of different lengths to
 each other.  Empty tables give empty results; rows with the same id count as one
 vector each when links are counted and share the component; extra columns are
-ignored.  A link is missed only if no window of any pass joins its components;
-the tests measure the share found against brute force.
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ COSINE = 0.9
 PASSES = 6
 BITS = 64
 WINDOW = 24
-BLOCK = 1024
+#: Bytes of vectors that are broadcast at a time (by hash, so about), and rows compared with them at once.
+CHUNK_BYTES = 1 << 24
+SHOWN = 256
 SEED = 20
 
 
@@ -114,44 +119,92 @@ def window_links(units: DataFrame, passes: int = PASSES, window: int = WINDOW, c
     return ordered.mapInArrow(compared, "u bigint, v bigint").distinct()
 
 
-def link_counts(units: DataFrame, roots: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """(id, n_links) inside the components (node, root), by pairs of blocks of at most about `block` vectors."""
-    sizes = units.select("id").join(roots, F.col("id") == F.col("node")).groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
-    many = F.ceil(F.col("_n") / block).cast("int")
-    members = units.join(roots, F.col("id") == F.col("node")).join(sizes.withColumnRenamed("root", "_r"), F.col("root") == F.col("_r"))
-    members = members.select("root", "id", "v", many.alias("_many"), F.pmod(F.xxhash64("id", "v"), many).cast("int").alias("_block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("_other")
-    spread = members.select("root", "id", "v", "_block", other).select("root", "id", "v", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
-
-    def count(key: tuple, rows: pa.Table) -> pa.Table:
-        raw = rows.column("v").to_pylist()
-        ids = rows.column("id").to_pylist()
-        own = np.array(rows.column("_block").to_pylist())
-        low, high = key[1].as_py(), key[2].as_py()
-        out: dict[int, int] = {}
-        lengths = np.array([len(r) for r in raw])
-        for length in sorted(set(lengths.tolist())):
-            left, right = (np.flatnonzero((own == b) & (lengths == length)) for b in (low, high))
-            if not len(left) or not len(right):
-                continue
-            a, b = (np.frombuffer(b"".join(raw[i] for i in part), np.float64).reshape(len(part), -1) for part in (left, right))
-            linked = a @ b.T >= cosine
-            if low == high:
-                np.fill_diagonal(linked, False)
-            for part, n in ((left, linked.sum(1)), *([(right, linked.sum(0))] if low != high else [])):
-                for i, c in zip(part.tolist(), n.tolist(), strict=True):
-                    out[ids[i]] = out.get(ids[i], 0) + c
-        return pa.table({"id": pa.array(list(out), pa.int64()), "n": pa.array(list(out.values()), pa.int64())})
-
-    return spread.groupBy("root", "_low", "_high").applyInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n_links"))
+def _matches(x: np.ndarray, y: np.ndarray, y_single: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all products of unit rows that reach the cosine."""
+    dots = x.astype(np.float32) @ y_single.T
+    # More than single precision can lose over this many components.
+    slack = (x.shape[1] + 8) * 2.0**-23
+    i, j = np.nonzero(dots >= np.float32(cosine - slack))
+    close = np.flatnonzero(dots[i, j] <= np.float32(cosine + slack))
+    keep = np.ones(len(i), bool)
+    for at in range(0, len(close), 1 << 14):
+        part = close[at : at + (1 << 14)]
+        keep[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]]) >= cosine
+    return i[keep], j[keep]
+
+
+def all_links(vectors: DataFrame, cosine: float = COSINE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """From stored (key, v, n, root), v different ones: stored rows (key, links), how many vectors reach the cosine, itself included, and rows (u, v) that unite roots."""
+    spark = vectors.sparkSession
+    schema = "key bigint, links bigint, u bigint, v bigint"
+    size = vectors.agg(F.sum(F.octet_length("v")).alias("s")).first()["s"] or 0
+    many = -(-size // chunk_bytes)
+    parts = []
+    for c in range(many):
+        own = vectors.where(F.pmod(F.xxhash64("key"), F.lit(many)) == c).select("v", "n", "root").collect()
+        shared = spark.sparkContext.broadcast([(bytes(r["v"]), r["n"], r["root"]) for r in own])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            chunk: dict[int, list] = {}
+            for row in shared.value:
+                chunk.setdefault(len(row[0]), []).append(row)
+            sides = {}
+            for length, rows in chunk.items():
+                y = np.frombuffer(b"".join(r[0] for r in rows), np.float64).reshape(len(rows), -1)
+                sides[length] = y, y.astype(np.float32), np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.int64)
+            forest = _base.Forest()
+
+            def now(roots: np.ndarray) -> np.ndarray:
+                different, place = np.unique(roots, return_inverse=True)
+                return np.array([forest.find(x) for x in different.tolist()], np.int64)[place]
+
+            for batch in _base.slices(batches, SHOWN):
+                keys, raw, above = (batch.column(k).to_pylist() for k in range(3))
+                lengths = np.array([len(r) for r in raw])
+                for length in sorted(set(lengths.tolist()) & set(sides)):
+                    mine = np.flatnonzero(lengths == length)
+                    y, single, n, roots = sides[length]
+                    x = np.frombuffer(b"".join(raw[k] for k in mine), np.float64).reshape(len(mine), -1)
+                    i, j = _matches(x, y, single, cosine)
+                    links = np.bincount(i, n[j], len(mine)).astype(np.int64)
+                    seen = np.flatnonzero(links)
+                    none = pa.nulls(len(seen), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in mine[seen]], pa.int64()), pa.array(links[seen]), none, none], names=["key", "links", "u", "v"])
+                    left = now(np.array([above[k] for k in mine], np.int64))
+                    # Pieces, so that a large group is united by its first rows.
+                    for at in range(0, len(i), 1 << 16):
+                        a, b = left[i[at : at + (1 << 16)]], roots[j[at : at + (1 << 16)]]
+                        apart = a != b
+                        if apart.any():
+                            for u, v in np.unique(np.stack((a[apart], b[apart]), 1), axis=0).tolist():
+                                forest.link(u, v)
+                            left, roots = now(left), now(roots)
+                    sides[length] = y, single, n, roots
+            united = [(x, forest.find(x)) for x in list(forest.up)]
+            none = pa.nulls(len(united), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([u for u, _ in united], pa.int64()), pa.array([v for _, v in united], pa.int64())], names=["key", "links", "u", "v"])
+
+        # More tasks than files: they are bound by comparing, not by reading.
+        spread = vectors.select("key", "v", "root").repartition(max(_base.partitions(spark), spark.sparkContext.defaultParallelism), "key")
+        parts.append(_base.stored(spread.mapInArrow(run, schema), "links"))
+        shared.destroy()
+    return spark.read.schema(schema).parquet(*[p._stored_at for p in parts]) if parts else spark.createDataFrame([], schema)
 
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, **how: int) -> DataFrame:
     """(key, n_links, component_id, kept) for each row."""
     units = _base.stored(vectors(rows, key, vector), "vectors")
-    roots = _base.components(window_links(units, cosine=cosine, **how))
-    links = link_counts(units, roots, cosine)
-    found = roots.join(links, F.col("node") == F.col("id"), "left").select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.coalesce("n_links", F.lit(0)).alias("_links"))
+    different = units.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("key", F.monotonically_increasing_id())
+    different = _base.stored(different, "different")
+    members = _base.stored(units.join(different.select("v", "key", F.col("id").alias("first")), "v").select("id", "key", "first"), "members")
+    near = _base.components(window_links(different.select("id", "v"), cosine=cosine, **how))
+    rooted = different.join(near, F.col("id") == F.col("node"), "left").select("key", "v", "n", F.coalesce("root", "id").alias("root"))
+    found = all_links(_base.stored(rooted, "rooted"), cosine)
+    edges = near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found.where("u IS NOT NULL").select("u", "v"))
+    roots = _base.components(edges.unionByName(members.select(F.col("id").alias("u"), F.col("first").alias("v"))))
+    each = found.where("key IS NOT NULL").groupBy("key").agg(F.sum("links").alias("_n"))
+    links = members.join(each, "key").groupBy("id").agg(F.sum(F.col("_n") - 1).alias("n_links"))
+    found = links.join(roots, F.col("node") == F.col("id"), "left").select(F.col("id").alias("_node"), F.coalesce("root", "id").alias("_root"), F.col("n_links").alias("_links"))
     out = rows.select(key).join(found, F.col(key) == F.col("_node"), "left")
     component = F.coalesce(F.col("_root"), F.col(key).cast("long"))
     return out.select(key, F.coalesce(F.col("_links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(True)).alias("kept"))

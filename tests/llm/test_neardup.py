@@ -62,3 +62,41 @@ def test_odd_vectors(spark):
     assert got[6] == (1, 6, True) and got[7] == (1, 6, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 8, 9, 10, 11))
     assert neardup.near_duplicates(df.where(F.lit(False))).count() == 0
+
+
+def test_every_planted_link_is_found_beside_a_hub(spark):
+    """Pairs at cosine 0.901 to 0.95 among many other vectors, near copies of one vector, and equal ones."""
+    rng = np.random.default_rng(5)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def at_cosine(x, c):
+        off = rng.normal(size=x.shape)
+        off = unit(off - (off * x).sum(-1, keepdims=True) * x)
+        return c * x + np.sqrt(1 - c * c) * off
+
+    x = unit(rng.normal(size=(8000, 64)))
+    pairs = [at_cosine(x[200 * k : 200 * (k + 1)], c) for k, c in enumerate((0.901, 0.92, 0.95))]
+    hub = at_cosine(np.repeat(x[1000:1001], 600, 0), 0.91)
+    x = np.concatenate([x, *pairs, hub, np.repeat(x[1001:1002], 300, 0)])
+    ids = rng.permutation(len(x))
+    link = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(link, False)
+    root, before = ids.copy(), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        for i in np.flatnonzero(link.any(1)):
+            root[i] = min(root[i], root[link[i]].min())
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == {int(i): (int(n), int(r)) for i, n, r in zip(ids, link.sum(1), root, strict=True)}
+
+
+def test_chunks_give_the_same_links(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, k, (v / np.linalg.norm(v)).tobytes()) for k, v in enumerate(rng.normal(size=(300, 3)))]
+    df = spark.createDataFrame(rows, "key bigint, root bigint, v binary").selectExpr("key", "v", "1L AS n", "root")
+    x = np.stack([np.frombuffer(r[2]) for r in rows])
+    got = neardup.all_links(df, chunk_bytes=1 << 10).where("key IS NOT NULL").groupBy("key").sum("links").collect()
+    assert {r[0]: r[1] for r in got} == dict(enumerate((x @ x.T >= 0.9).sum(1).tolist()))
