@@ -8,11 +8,14 @@ PMI(t; k) / IC(k) = log(p(k | t) / p(k)) / -log p(k), 1 if it never stands
 elsewhere.  In documents with an entity of that kind, terms above a first
 threshold are generalised to their kind of word, above a second removed.
 
-Occurrences of all words of all documents are counted in tables of a fixed
-number of hash buckets; a collision can only lower a term's disclosure or lend
-it another's.  Null texts count as empty; texts of any length are read whole
-and in linear time; empty tables give empty results; repeated rows are found
-alike; other columns pass through (those of our names, "pii_...", are replaced).
+Terms are counted one by one, by the 64-bit hash of the whole word: first near
+entities, then, for terms seen there often enough, in all documents.  A bitmap
+of fixed size, filled from those terms, only keeps most other words out of the
+second count.  The terms above a threshold are sent to all tasks; each stands
+near entities at least 8 times, so there are no more than entities.  Null texts
+count as empty; texts of any length are read whole and in linear time; empty
+tables give empty results; repeated rows are found alike; other columns pass
+through (those of our names, "pii_...", are replaced).
 """
 
 from __future__ import annotations
@@ -39,11 +42,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ADDED = ("generalise", "remove")
-BUCKET_BITS = 18
+FILTER_BITS = 22
 NEAR = 4
 LEAST = 8
 GENERALISE, REMOVE = 0.6, 0.9
-_CELLS = 1 << 14
+#: Words that a task counts at a time.
+_COUNTED = 1 << 20
+
+#: Hashes of terms, ascending, and uint8 [kind, term]: 0 harmless, 1 to generalise, 2 to remove.
+Terms = tuple[np.ndarray, np.ndarray]
 
 
 def _luhn(digits: str) -> bool:
@@ -87,11 +94,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def term_buckets(words: list[str]) -> np.ndarray:
-    """The bucket of each word: the hash that whole texts are counted by, without the case of A-Z."""
+def term_hashes(words: list[str]) -> np.ndarray:
+    """The hash of each word that whole texts are counted by, without the case of A-Z."""
     if not words:
-        return np.zeros(0, np.int64)
-    return np.concatenate([h for _, h, _ in _text.words([" ".join(words)])]).astype(np.uint64) >> np.uint64(64 - BUCKET_BITS)
+        return np.zeros(0, np.uint64)
+    return np.concatenate([h for _, h, _ in _text.words([" ".join(words)])])
 
 
 def around(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
@@ -111,41 +118,86 @@ def around(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int
     return [p if free[i] else (-1, -1) for i, p in enumerate(places)], {k: sorted(v) for k, v in near.items()}
 
 
-def disclosures(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """uint8 [kind, bucket]: 0 harmless, 1 to generalise, 2 to remove; from all documents."""
-    size = 1 << BUCKET_BITS
+def _counted(kind: int, hashes: list[np.ndarray]) -> pa.RecordBatch:
+    h, n = np.unique(np.concatenate(hashes), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "h", "n"])
+
+
+def near_counts(docs: DataFrame) -> DataFrame:
+    """(k, h, n): how often each term stands near entities of each kind; docs has the text only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((1 + len(KINDS), size), np.int64)
+        held: dict[int, list[np.ndarray]] = {}
         for batch in _base.slices(batches, 512):
-            texts = batch.column(0).to_pylist()
-            for _, h, _ in _text.words(texts):
-                counts[0] += np.bincount(h >> np.uint64(64 - BUCKET_BITS), minlength=size)
             found: dict[int, list[str]] = {}
-            for value in texts:
+            for value in batch.column(0).to_pylist():
                 if value and (spans := base_spans(value)):
                     places, near = around(value, spans)
                     for k, own in near.items():
                         found.setdefault(k, []).extend(value[places[i][0] : places[i][1]] for i in own)
             for k, terms in found.items():
-                counts[1 + k] += np.bincount(term_buckets(terms), minlength=size)
-        yield from _base.as_blocks(counts.ravel(), _CELLS)
+                held.setdefault(k, []).append(term_hashes(terms))
+                if sum(map(len, held[k])) >= _COUNTED:
+                    yield _counted(k, held.pop(k))
+        for k, own in held.items():
+            yield _counted(k, own)
+
+    return docs.mapInArrow(run, "k int, h bigint, n bigint").groupBy("k", "h").agg(F.sum("n").alias("n"))
+
 
-    table = _base.summed(docs.select(text).mapInArrow(run, "block int, cells binary"), _CELLS, (1 + len(KINDS)) * size // _CELLS)
-    counts = table.reshape(1 + len(KINDS), size).astype(float)
-    total = max(counts[0].sum(), 1.0)
-    out = np.zeros((len(KINDS), size), np.uint8)
+def all_counts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(k, h, n): with k = 0 how often each term that passes the bitmap stands anywhere, with k = 1 the number of all words."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
+        held: list[np.ndarray] = []
+        total = size = 0
+        for batch in _base.slices(batches, 512):
+            for _, h, _ in _text.words(batch.column(0).to_pylist()):
+                total += len(h)
+                held.append(h[may[h >> np.uint64(64 - FILTER_BITS)]])
+                size += len(held[-1])
+                if size >= _COUNTED:
+                    yield _counted(0, held)
+                    held, size = [], 0
+        if held:
+            yield _counted(0, held)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["k", "h", "n"])
+
+    return docs.mapInArrow(run, "k int, h bigint, n bigint").groupBy("k", "h").agg(F.sum("n").alias("n"))
+
+
+def disclosures(docs: DataFrame, text: str = "text") -> Terms:
+    """The terms that aren't harmless, from all documents."""
+    docs = docs.select(text)
+    near = _base.stored(near_counts(docs), "near-terms")
+    sums = {r["k"]: r["n"] for r in near.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    each = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(f"_near{k}") for k in range(len(KINDS))]
+    often = _base.stored(near.groupBy("h").agg(*each).where(F.greatest(*[f"_near{k}" for k in range(len(KINDS))]) >= LEAST), "often-near")
+    cell = often.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("c"))
+    bits = cell.groupBy((F.shiftright("c", 6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(c & 63 AS INT))")).alias("b")).toArrow()
+    wanted = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    wanted[bits["w"].to_numpy()] = bits["b"].to_numpy()
+    counts = _base.stored(all_counts(docs, wanted), "all-terms")
+    words = max((counts.where("k = 1").agg(F.sum("n").alias("n")).first()["n"]) or 0, 1)
+    level = []
     for k in range(len(KINDS)):
-        share = counts[1 + k].sum() / total
+        share = sums.get(k, 0) / words
         if 0 < share < 1:
-            own = np.minimum(counts[1 + k] / np.maximum(counts[0], 1), 1)
-            level = np.log(np.maximum(own, 1e-300) / share) / -np.log(share)
-            known = counts[1 + k] >= LEAST
-            out[k] = (known & (level >= GENERALISE)).astype(np.uint8) + (known & (level >= REMOVE))
-    return out
+            own = F.least(F.col(f"_near{k}") / F.col("n"), F.lit(1.0))
+            known = F.when(F.col(f"_near{k}") >= LEAST, F.log(own / share) / -float(np.log(share)))
+            level.append(F.when(known >= REMOVE, 2).when(known >= GENERALISE, 1).otherwise(0).cast("tinyint").alias(f"_level{k}"))
+        else:
+            level.append(F.lit(0).cast("tinyint").alias(f"_level{k}"))
+    rows = counts.where("k = 0").select(F.col("h").alias("_h"), "n").join(often, F.col("_h") == F.col("h")).select("h", *level)
+    found = rows.where(F.greatest(*[f"_level{k}" for k in range(len(KINDS))]) > 0).toArrow()
+    hashes = found["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.stack([found[f"_level{k}"].to_numpy().astype(np.uint8)[order] for k in range(len(KINDS))])
 
 
-def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
+def all_spans(text: str, terms: Terms) -> list[tuple[int, int, int]]:
     """Base spans and those that the method adds (kinds 4 and 5), by start, then kind."""
     base = base_spans(text)
     if not base:
@@ -154,8 +206,12 @@ def all_spans(text: str, table: np.ndarray) -> list[tuple[int, int, int]]:
     real = [(s, e) for s, e in places if s >= 0]
     if not real:
         return base
-    bucket = term_buckets([text[s:e] for s, e in real])
-    level = table[sorted({k for _, k, _ in base})].max(axis=0)[bucket]
+    hashes, levels = terms
+    if not len(hashes):
+        return base
+    own = term_hashes([text[s:e] for s, e in real])
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    level = np.where(hashes[at] == own, levels[np.ix_(sorted({k for _, k, _ in base}), at)].max(axis=0), 0)
     return sorted([*base, *[(*real[i][:1], 3 + int(level[i]), real[i][1]) for i in np.flatnonzero(level)]])
 
 
@@ -181,15 +237,16 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 def spans_of(docs: DataFrame, text: str = "text", clean: bool = True) -> DataFrame:
     """docs with pii_email, pii_ip, pii_card, pii_phone, pii_base, pii_spans and, if asked for, pii_clean (the sanitised text)."""
-    table = disclosures(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast(disclosures(docs, text))
     docs = docs.drop(*[f"pii_{k}" for k in KINDS], "pii_base", "pii_spans", "pii_clean")
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
         for batch in _base.slices(batches):
             new: dict[str, list] = {f"pii_{k}": [] for k in KINDS} | {"pii_base": [], "pii_spans": []} | ({"pii_clean": []} if clean else {})
             for value in batch.column(place).to_pylist():
-                spans = all_spans(value or "", table)
+                spans = all_spans(value or "", terms)
                 base = [s for s in spans if s[1] < len(KINDS)]
                 for i, k in enumerate(KINDS):
                     new[f"pii_{k}"].append(sum(s[1] == i for s in base))

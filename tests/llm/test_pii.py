@@ -1,11 +1,13 @@
 import hashlib
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelkite.llm import pii
+from panelkite.llm import _text, pii
 
 
 def luhn(d):
@@ -65,3 +67,39 @@ def test_odd_rows(odd, empty):
     assert (seven["pii_email"], seven["pii_phone"]) == (1, 1)
     assert seven["pii_base"] == ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{s}:{e}" for s, k, e in brute(seven["text"]))
     assert pii.spans_of(empty).count() == 0
+
+
+def test_a_term_is_not_lost_to_others_with_like_hashes(spark):
+    """Ten times beside an address, with a frequent word whose hash begins with the same 18 bits."""
+    term = "zanzibarmail"
+    others = [f"other{i}" for i in range(2_000_000)]
+    top = [np.concatenate([h for _, h, _ in _text.words([" ".join(w)])]) >> np.uint64(46) for w in ([term], others)]
+    other = others[int(np.flatnonzero(top[1] == top[0][0])[0])]
+    rows = [(i, f"{other} " * 40 + f"plain words of every day number {i}") for i in range(300)]
+    rows += [(1000 + i, f"please write to {term} user{i}@mail.example for more plain words of every day") for i in range(10)]
+    got = {r["doc_id"]: r["pii_spans"] for r in pii.spans_of(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    at = dict(rows)[1000].index(term)
+    assert all(f"remove:{at}:{at + len(term)}" in got[1000 + i].split(",") for i in range(10))
+
+
+def test_disclosures_against_plain_counts(spark, docs, texts):
+    planted = [f"write to Zanzibarmail user{i}@mail.example or by halfmail plain words of every day" for i in range(20)] + ["plain words of halfmail"] * 20
+    docs = docs.select("text").union(spark.createDataFrame([(t,) for t in planted], "text string"))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    every, near = Counter(), [Counter() for _ in pii.KINDS]
+    for text in [*texts.values(), *planted]:
+        every.update(w.translate(lower) for w in pii.WORD.findall(text or ""))
+        if text and (spans := pii.base_spans(text)):
+            places, by = pii.around(text, spans)
+            for k, own in by.items():
+                near[k].update(text[slice(*places[i])].translate(lower) for i in own)
+    want = {}
+    for k, counts in enumerate(near):
+        share = counts.total() / every.total()
+        for word, n in counts.items():
+            level = np.log(n / every[word] / share) / -np.log(share)
+            if n >= pii.LEAST and level >= pii.GENERALISE:
+                want.setdefault(int(pii.term_hashes([word])[0]), [0] * 4)[k] = 1 + int(level >= pii.REMOVE)
+    hashes, levels = pii.disclosures(docs)
+    assert {max(v) for v in want.values()} == {1, 2}
+    assert dict(zip(hashes.tolist(), levels.T.tolist(), strict=True)) == want
