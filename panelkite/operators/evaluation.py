@@ -35,11 +35,11 @@ def walk_forward(training: DataFrame, targets: DataFrame, features: Sequence[str
 
     training: (issued_at, datetime, label, features), what an origin may see;
     targets: (issued_at, actual, features).  The penalty is the one that forecast
-    the last fifth of the training rows best.
+    the last fifth of the training rows best; rows of one date are in order of their values.
     """
 
     def run(known: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        known = known.dropna(subset=["label", *features]).sort_values("datetime")
+        known = known.dropna(subset=["label", *features]).sort_values(["datetime", *features, "label"])
         x, y = known[list(features)].to_numpy(float), known["label"].to_numpy(float)
         if len(y) < 5:
             return pd.DataFrame(columns=["issued_at", "alpha", "forecast", "benchmark", "actual"])

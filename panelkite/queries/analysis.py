@@ -210,7 +210,7 @@ def last_moments(s: SparkSession, d: str) -> DataFrame:
 
 
 def topk_dropout_backtest(s: SparkSession, d: str) -> DataFrame:
-    rows = tables.dense_panel(s, d).features({"close": "$close", "score": "$close/Ref($close,5)-1"}, start="1996-01-01", end="1996-12-31")
+    rows = tables.dense_panel(s, d).features({"close": "$close", "score": "$close/Ref($close,5)-1"})
     both = rows.withColumn("run_id", F.lit("follow")).unionByName(rows.withColumn("run_id", F.lit("against")).withColumn("score", -F.col("score")))
     return rounded(simulate.backtest(both, simulate.TopDrop(k=5, n=1)), 4)
 
@@ -223,7 +223,7 @@ def soft_topk_weights(s: SparkSession, d: str) -> DataFrame:
             out += [(when, i, w) for i, w in held.items()]
         return pd.DataFrame(out, columns=[TIME, INSTRUMENT, "weight"])
 
-    rows = signal(s, d).where(f"score IS NOT NULL AND {TIME} < TIMESTAMP_NTZ '1996-01-01'").withColumn("run_id", F.lit(1))
+    rows = signal(s, d).where("score IS NOT NULL").withColumn("run_id", F.lit(1))
     return rounded(rows.groupBy("run_id").applyInPandas(run, f"{TIME} timestamp_ntz, {INSTRUMENT} bigint, weight double"))
 
 
@@ -286,11 +286,11 @@ def walk_forward(s: SparkSession, d: str) -> DataFrame:
     rows = tables.bars(s, d)
     cal = calendar_of(rows)
     labels = joins.mature_labels(rows.select(INSTRUMENT, TIME, F.col("close").alias("price")), cal, 5)
-    origins = joins.month_ends(cal).where(F.year(TIME) == 1996).select(F.col(TIME).alias("issued_at"))
-    known = joins.training_rows(labels, origins).where(f"{INSTRUMENT} <= 3")
+    origins = joins.month_ends(cal).select(F.col(TIME).alias("issued_at"))
+    known = joins.training_rows(labels, origins)
     features = tables.dense_panel(s, d).features({"m": "$close/Ref($close,1)-1", "v": "$volume/50"})
     training = known.join(features, [INSTRUMENT, TIME])
-    targets = origins.join(features.where(f"{INSTRUMENT} <= 3"), F.col(TIME) == F.col("issued_at")).select("issued_at", F.lit(0.0).alias("actual"), "m", "v").dropna()
+    targets = origins.join(features, F.col(TIME) == F.col("issued_at")).select("issued_at", F.lit(0.0).alias("actual"), "m", "v").dropna()
     return rounded(evaluation.walk_forward(training, targets, ["m", "v"]), 6)
 
 
