@@ -27,7 +27,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from panelkite.llm import _base
 
@@ -156,14 +155,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50)))
 
 
+def byte_share(sizes: list[tuple[int, int]], most: int) -> int:
+    """The largest number of bytes a text may give so that all (size, count) give `most` at most; the longest size if all fit."""
+    left, texts = most, sum(n for _, n in sizes)
+    for size, n in sorted(sizes):
+        if size * texts > left:
+            return left // texts
+        left -= size * n
+        texts -= n
+    return max((size for size, _ in sizes), default=0)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0, folds: int = 5, text: str = "text", key: str = "doc_id") -> Model:
     rows: list[tuple[int, str]] = []
     crc = _base.crc_of_id(key)
     for kind, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         one = _base.labelled(docs, labels.withColumn(label, F.col(label).cast("int")), label, (crc % folds != fold) & (F.col(label) == kind), most, text, key)
-        order = Window.orderBy(F.md5(F.col("key").cast("string").cast("binary")), "key").rowsBetween(Window.unboundedPreceding, 0)
-        # A bounded number of rows, and of bytes.
-        one = one.withColumn("_bytes", F.sum(F.octet_length("text")).over(order)).where(F.coalesce(F.col("_bytes"), F.lit(0)) <= SAMPLE_BYTES)
+        # A bounded number of rows, and of bytes: long texts give their beginnings, so that all fit.
+        lengths = one.groupBy(F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).count().collect()
+        share = byte_share([(r["size"], r["count"]) for r in lengths], SAMPLE_BYTES)
+        begin = F.rtrim(F.make_valid_utf8(F.substring(F.col("text").cast("binary"), 1, share).cast("string")), F.lit("\ufffd"))
+        one = one.withColumn("text", F.when(F.octet_length("text") > share, begin).otherwise(F.col("text")))
         rows += [(kind, r["text"] or "") for r in one.select("key", "text").orderBy(F.md5(F.col("key").cast("string").cast("binary")), "key").collect()]
     return Model(rows)
 

@@ -49,3 +49,15 @@ def test_runs_agree(spark, docs, labels):
     assert one == two
     one, two = ({r["doc_id"]: r["quality_score"] for r in quality.score(docs.repartition(n), labels).collect()} for n in (1, 5))
     assert all(abs(one[k] - two[k]) < 1e-4 for k in one)
+
+
+def test_long_toxic_documents_do_not_end_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    rows = [(i, f"you are a vile rotten {w} person number {i}", 1) for i, w in enumerate(["scum", "filth", "pest"] * 20)]
+    rows += [(100 + i, f"the garden has a nice green {w} in spring number {i}", 0) for i, w in enumerate(["tree", "leaf", "lawn"] * 20)]
+    rows += [(200 + i, "é you are vile rotten scum " * 2_000, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.content is not None
+    assert toxicity.byte_share([(10, 2), (1000, 1)], 120) == 100
+    assert toxicity.byte_share([(10, 2), (50, 1)], 120) == 50 and toxicity.byte_share([], 5) == 0
