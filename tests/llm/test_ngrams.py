@@ -61,7 +61,8 @@ def test_near_copies_of_all_sizes(spark):
 
 
 def test_one_crowded_group(spark, monkeypatch):
-    monkeypatch.setattr(ngrams, "HOT", 10)
+    monkeypatch.setattr(ngrams, "LANE", 16)
+    monkeypatch.setattr(ngrams.block_links, "__defaults__", (ngrams.PERCENT, 32))
     monkeypatch.setattr(ngrams, "SKETCH_BITS", 14)
     rows = near_copies(2, (150,), 1, 260, 12) + [(10_000 + i, f"some other text number {i} with few words {i * i}") for i in range(50)]
     assert got(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
