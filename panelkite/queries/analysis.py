@@ -191,7 +191,7 @@ def rank_labels(s: SparkSession, d: str) -> DataFrame:
 
 
 def covariance_empirical(s: SparkSession, d: str) -> DataFrame:
-    rows = tables.dense_panel(s, d).features({"return": "$close/Ref($close,1)-1"}).where(f"return IS NOT NULL AND {INSTRUMENT} <= 8")
+    rows = tables.dense_panel(s, d).features({"return": "$close/Ref($close,1)-1"}).where("return IS NOT NULL")
     return rounded(covariance.empirical(rows).select("a", "b", "cov"), 5)
 
 
@@ -319,9 +319,9 @@ def queries() -> dict[str, Query]:
     return out
 
 
-_XY = f"""{sql.DENSE}, r AS (
+_XY = f"""{sql.DENSE}, r AS MATERIALIZED (
   SELECT instrument, datetime, close / lag(close) OVER i - 1 AS x, avg(volume) OVER w3 AS y FROM b {sql.windows(3)})"""
-_FITTED = f"fit AS (SELECT * FROM r WHERE datetime BETWEEN TIMESTAMP '{FIT[0]}' AND TIMESTAMP '{FIT[1]}')"
+_FITTED = f"fit AS MATERIALIZED (SELECT * FROM r WHERE datetime BETWEEN TIMESTAMP '{FIT[0]}' AND TIMESTAMP '{FIT[1]}')"
 
 
 def _each(x: str, y: str | None = None, digits: int = 5, extra: str = "", tail: str = "", start: str = _XY) -> str:
@@ -430,8 +430,8 @@ z AS (SELECT *, (score - avg(score) OVER v) / nullif(stddev_samp(score) OVER v,
 SELECT datetime, status, round(sum(r) OVER (PARTITION BY status ORDER BY datetime), 4) AS cum_return FROM s""",
         "rank_labels": f"""WITH {sql.SIGNAL}, s AS (SELECT datetime, CASE WHEN instrument % 2 = 0 THEN 'hold' ELSE 'out' END AS status, rank() OVER (PARTITION BY datetime ORDER BY label DESC) / count(*) OVER (PARTITION BY datetime) * 100 AS r FROM signal WHERE label IS NOT NULL)
 SELECT datetime, status, round(avg(r), 4) AS rank_ratio FROM s GROUP BY 1, 2""",
-        "covariance_empirical": f"""WITH {sql.DENSE}, f AS (SELECT instrument, datetime, close / lag(close) OVER i - 1 AS r FROM b {sql.windows()}), u AS (SELECT * FROM f WHERE r IS NOT NULL AND instrument <= 8),
-c AS (SELECT instrument, datetime, r - avg(r) OVER (PARTITION BY instrument) AS x FROM u)
+        "covariance_empirical": f"""WITH {sql.DENSE}, f AS (SELECT instrument, datetime, close / lag(close) OVER i - 1 AS r FROM b {sql.windows()}), u AS MATERIALIZED (SELECT * FROM f WHERE r IS NOT NULL),
+c AS MATERIALIZED (SELECT instrument, datetime, r - avg(r) OVER (PARTITION BY instrument) AS x FROM u)
 SELECT l.instrument AS a, z.instrument AS b, round(sum(l.x * z.x) / (SELECT count(DISTINCT datetime) FROM u), 5) AS cov FROM c l JOIN c z USING (datetime) GROUP BY 1, 2""",
         "ts_sample_list": f"""WITH {sql.SPINE}, s AS (SELECT instrument, datetime, close, list(coalesce(CAST(volume AS INT), -1)) OVER w4 AS xs FROM b {sql.windows(4)})
 SELECT instrument, datetime, repeat('-1,', CAST(4 - len(xs) AS INT)) || array_to_string(xs, ',') AS sample FROM s WHERE close IS NOT NULL""",

@@ -136,7 +136,7 @@ def join_mature_labels(s: SparkSession, d: str) -> DataFrame:
 def join_theta_training(s: SparkSession, d: str) -> DataFrame:
     rows = tables.bars(s, d)
     labels = joins.mature_labels(rows.select(INSTRUMENT, TIME, F.col("close").alias("price")), calendar_of(rows), 5)
-    origins = joins.month_ends(calendar_of(rows)).where(F.year(TIME) == 1996).select(F.col(TIME).alias("issued_at"))
+    origins = joins.month_ends(calendar_of(rows)).select(F.col(TIME).alias("issued_at"))
     return joins.training_rows(labels, origins).groupBy("issued_at").agg(F.count(F.lit(1)).alias("n"), F.max(TIME).alias("last"))
 
 
@@ -215,7 +215,7 @@ def session_floor(s: SparkSession, d: str) -> DataFrame:
 
 
 def minute_calendar(s: SparkSession, d: str) -> DataFrame:
-    days = calendar_of(tables.bars(s, d)).where(F.year(TIME) == 1995).select(TIME)
+    days = calendar_of(tables.bars(s, d)).select(TIME)
     return intraday.minute_calendar(days).groupBy(F.to_date(TIME).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min(TIME).alias("first"), F.max(TIME).alias("last"))
 
 
@@ -336,7 +336,7 @@ SELECT m.instrument, m.datetime, round(v, 6) AS v FROM m JOIN s USING (instrumen
         "join_replace_range": f"WITH {sql.BARS} SELECT instrument, datetime, CASE WHEN datetime >= TIMESTAMP '{CUT}' THEN -close ELSE close END AS close FROM bars",
         "join_asof": "SELECT e.user_id AS instrument, e.ts AS datetime, e.value, coalesce(p.event_id, -1) AS last_purchase FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts >= p.ts",
         "join_mature_labels": f"WITH {mature} SELECT instrument, datetime, matures, round(label, 6) AS label, status FROM labels",
-        "join_theta_training": f"""WITH {mature}, o AS (SELECT max(datetime) AS issued_at FROM calendar WHERE year(datetime) = 1996 GROUP BY date_trunc('month', datetime))
+        "join_theta_training": f"""WITH {mature}, o AS (SELECT max(datetime) AS issued_at FROM calendar GROUP BY date_trunc('month', datetime))
 SELECT issued_at, count(*) AS n, max(datetime) AS last FROM o JOIN labels l ON l.matures <= o.issued_at AND l.datetime < o.issued_at WHERE status = 'AVAILABLE' GROUP BY 1""",
         "join_benchmark": f"WITH {sql.DENSE}, r AS (SELECT *, close / lag(close) OVER i - 1 AS r FROM b {sql.windows()}), m AS (SELECT datetime, coalesce(avg(r), 0) AS bench FROM r GROUP BY 1) SELECT instrument, datetime, round(r - bench, 6) AS excess FROM r JOIN m USING (datetime)",
         "join_daily_minutes": "SELECT user_id AS instrument, ts AS datetime, value, max(value) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS day_high FROM events",
@@ -352,7 +352,7 @@ SELECT s.instrument, s.datetime, round(b.v, 4) AS v FROM slots s LEFT JOIN bins
         "between_times": "SELECT user_id AS instrument, ts AS datetime, value FROM events WHERE CAST(ts AS TIME) BETWEEN TIME '09:30:00' AND TIME '11:29:00.999999' OR CAST(ts AS TIME) BETWEEN TIME '13:00:00' AND TIME '14:59:00.999999'",
         "session_floor": f"""WITH m AS (SELECT user_id AS instrument, ts, {session} AS m FROM events), f AS (SELECT *, CAST(floor(m / 30) * 30 AS BIGINT) AS slot FROM m WHERE m IS NOT NULL)
 SELECT instrument, ts AS datetime, CAST(date_trunc('day', ts) AS TIMESTAMP) + to_minutes(CASE WHEN slot < 120 THEN slot + 570 ELSE slot + 660 END) AS slot FROM f""",
-        "minute_calendar": f"{cal} SELECT CAST(datetime AS DATE) AS day, CAST(240 AS BIGINT) AS n, datetime + INTERVAL 570 MINUTE AS first, datetime + INTERVAL 899 MINUTE AS last FROM calendar WHERE year(datetime) = 1995",
+        "minute_calendar": f"{cal} SELECT CAST(datetime AS DATE) AS day, CAST(240 AS BIGINT) AS n, datetime + INTERVAL 570 MINUTE AS first, datetime + INTERVAL 899 MINUTE AS last FROM calendar",
         "union_frames": f"{two} SELECT instrument, datetime, open, close, NULL::DOUBLE AS high FROM x UNION ALL SELECT instrument, datetime, NULL, close, high FROM y",
         "tail1_per_instrument": f"WITH {sql.BARS} SELECT instrument, arg_max(close, datetime) AS close FROM bars GROUP BY 1",
         "raw_csv_round_trip": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",

@@ -1,8 +1,8 @@
-"""Common table expressions of the oracle queries."""
+"""Common table expressions of the oracle queries, materialised: several are read more than once."""
 
 from __future__ import annotations
 
-BARS = """bars AS (
+BARS = """bars AS MATERIALIZED (
   SELECT l_suppkey AS instrument, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS datetime,
          arg_min(l_extendedprice, struct_pack(a := l_orderkey, b := l_linenumber, c := l_extendedprice)) AS open,
          max(l_extendedprice) AS high, min(l_extendedprice) AS low,
@@ -10,17 +10,17 @@ BARS = """bars AS (
          sum(l_quantity) AS volume, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS vwap
   FROM lineitem GROUP BY 1, 2)"""
 DENSE = f"""{BARS},
-b AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) - 1 AS cal_idx FROM bars)"""
+b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY datetime) - 1 AS cal_idx FROM bars)"""
 CALENDAR = f"""{BARS},
-calendar AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS cal_idx FROM (SELECT DISTINCT datetime FROM bars))"""
+calendar AS MATERIALIZED (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS cal_idx FROM (SELECT DISTINCT datetime FROM bars))"""
 SPINE = f"""{CALENDAR},
-b AS (
+b AS MATERIALIZED (
   SELECT s.instrument, c.datetime, c.cal_idx, open, high, low, close, volume, vwap
   FROM (SELECT instrument, min(datetime) AS a, max(datetime) AS z FROM bars GROUP BY 1) s
   JOIN calendar c ON c.datetime BETWEEN s.a AND s.z
   LEFT JOIN bars x ON x.instrument = s.instrument AND x.datetime = c.datetime)"""
 SIGNAL = f"""{DENSE},
-signal AS (
+signal AS MATERIALIZED (
   SELECT instrument, datetime, close / lag(close, 5) OVER i - 1 AS score, lead(close, 2) OVER i / lead(close, 1) OVER i - 1 AS label
   FROM b WINDOW i AS (PARTITION BY instrument ORDER BY cal_idx))"""
 

@@ -283,3 +283,16 @@ def test_streams(spark, tmp_path):
     got = spark.table("ema").orderBy("datetime").toPandas().ema
     want = pd.Series([float(i % 6) for i in range(40)]).ewm(alpha=0.5).mean()
     np.testing.assert_allclose(got, want)
+
+
+def test_covariance_is_the_same_in_blocks(spark):
+    rows = [(pd.Timestamp("2020-01-01") + pd.Timedelta(days=t), i, float((7 * t * i + i * i + t) % 11)) for t in range(9) for i in range(1, 8) if (t + i) % 4]
+    frame = spark.createDataFrame(pd.DataFrame(rows, columns=["datetime", "instrument", "return"]))
+    wide = pd.DataFrame(rows, columns=["d", "i", "r"])
+    wide["x"] = wide["r"] - wide.groupby("i")["r"].transform("mean")
+    both = wide.merge(wide, on="d")
+    both["p"] = both["x_x"] * both["x_y"]
+    want = (both.groupby(["i_x", "i_y"])["p"].sum() / 9).to_dict()
+    for block in (512, 3):
+        got = {(r["a"], r["b"]): r["cov"] for r in covariance.empirical(frame, block=block).collect()}
+        assert set(got) == set(want) and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
