@@ -1,18 +1,22 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text.  The ordinary one is
-trained on windows of ordinary documents.  The toxic one holds the same, and in
-front of it the fragments that are typical of toxic documents: words, or parts
-of words, whose character grams occur in many more toxic documents than
-ordinary ones.  Where a word begins is marked, as the same letters inside a
-word mean little.  A window of a few words that gets shorter with the toxic
-dictionary speaks for toxicity.  How many bytes shorter, in how many windows,
-makes a probability is calibrated by a logistic fit on labelled documents that
-the dictionaries didn't see.
-
-The labelled sample is bounded in documents and bytes (parameters).  Every
-window of every text is scored.  Null and empty texts have one empty window;
-without labels of both kinds the score is their smoothed share; empty tables
+Two zstandard dictionaries are trained on labelled text.  The ordinary one is
+trained on windows of ordinary documents.  The toxic one holds the same, so that
+only what is special to toxic text makes a difference, and in front of it a
+dictionary trained on words of toxic windows: those with a character gram that
+is in many more of the different toxic windows than of the ordinary ones.  (Of
+all toxic windows, nearly all words are ordinary; trained on them as they are,
+the dictionary tells little.  The README has figures.)  Where a word begins is
+marked, as the same letters inside a word mean little.  A window of a few words
+that gets shorter with the toxic dictionary speaks for toxicity.  How many bytes
+shorter, in how many windows, makes a probability is calibrated by a logistic
+fit on labelled documents that the dictionaries didn't see.
+
+The labelled sample is bounded in documents and bytes (parameters); if a kind's
+documents have more bytes, the longest give only their beginnings to training.
+Every window of every text is scored.  Null and empty texts have one empty
+window; with fewer than ten labels of either kind the score is the smoothed
+share of toxic ones, below one half; empty tables
 give empty results; repeated rows get equal scores; other columns pass through
 `score` (toxic_score and toxic_predicted are replaced).
 """
@@ -37,6 +41,10 @@ HEAD = 5
 #: Labelled documents of either kind, and their bytes, at most.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 4_000, 6_000, 24_000_000
 COMMON, SPECIAL = 16384, 4096
+#: Ordinary windows that the dictionary is trained on, evenly taken, about.
+COMMON_WINDOWS = 100_000
+#: Windows with a typical gram, at least; how many times as frequent in toxic text; by how many standard deviations.
+LEAST, ODDS, SURE = 8, 6.0, 8.0
 _LEVEL = 3
 
 
@@ -50,40 +58,31 @@ def windows(text: str | None) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, len(words), WORDS)] or [b""]
 
 
-def _grams(text: str | None) -> set[bytes]:
-    raw = b" " + b" ".join(marked(text)) + b" "
+def _grams(raw: bytes) -> set[bytes]:
     return {raw[i : i + GRAM] for i in range(len(raw) - GRAM + 1)}
 
 
-def fragments(toxic: list[str], ordinary: list[str], least: int = 4, odds: float = 4.0, sure: float = 5.0) -> list[bytes]:
-    """Fragments typical of toxic documents, the most frequent last.
-
-    Their grams are in `odds` times the share of toxic documents, and by so many
-    standard deviations of a count that happens to be so high.
-    """
-    with_, without = Counter(), Counter()
-    for t in toxic:
-        with_.update(_grams(t))
-    least = max(2, min(least, len(toxic) // 20))
-    live = {g for g, n in with_.items() if n >= least}
-    for t in ordinary:
-        without.update(_grams(t) & live)
+def typical_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Of different toxic windows, the words with a gram that is typical: of frequent ones, in ODDS times the share of windows, and by SURE standard deviations of a count that happens to be so high."""
+    with_: Counter[bytes] = Counter()
+    without: Counter[bytes] = Counter()
+    for w in toxic:
+        with_.update(_grams(w))
+    live = {g for g, n in with_.items() if n >= LEAST}
+    for w in ordinary:
+        without.update(_grams(w) & live)
     ratio = len(toxic) / max(len(ordinary), 1)
     chance = {g: ratio * without[g] for g in live}
-    typical = {g for g, c in chance.items() if with_[g] + 0.5 >= odds * (c + 0.5 * ratio) and with_[g] - c >= sure * (c + 1) ** 0.5}
-    found: Counter[bytes] = Counter()
-    for t in toxic:
-        for word in set(marked(t)):
-            raw, at = b" " + word + b" ", 0
-            while at <= len(raw) - GRAM:
-                if raw[at : at + GRAM] not in typical:
-                    at += 1
-                    continue
-                start = at
-                while at <= len(raw) - GRAM and raw[at : at + GRAM] in typical:
-                    at += 1
-                found[raw[start : at + GRAM - 1]] += 1
-    return [g for g, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= least]
+    typical = {g for g, c in chance.items() if with_[g] + 0.5 >= ODDS * (c + 0.5 * ratio) and with_[g] - c >= SURE * (c + 1) ** 0.5}
+    words = (b" " + word + b" " for w in toxic for word in w.split())
+    return [w for w in words if not typical.isdisjoint(_grams(w))]
+
+
+def _trained(samples: list[bytes], size: int, **how: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
+    except zstandard.ZstdError:  # too little text to choose from: all that there is
+        return b"".join(samples)[-size:]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -109,12 +108,11 @@ class Distance:
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    samples = [w for t in ordinary for w in windows(t)]
-    try:
-        common = zstandard.train_dictionary(COMMON, samples[:: max(1, len(samples) // 200_000)]).as_bytes()
-    except zstandard.ZstdError:  # too little text to choose from: all that there is
-        common = b"".join(samples)[-COMMON:]
-    special = b"".join(fragments(toxic, ordinary))[-SPECIAL:]
+    """Contents of the toxic and the ordinary dictionary."""
+    # Copies of a text would make its words look typical.
+    with_, without = (list(dict.fromkeys(w for t in texts for w in windows(t))) for texts in (toxic, ordinary))
+    common = _trained(without[:: max(1, len(without) // COMMON_WINDOWS)], COMMON)
+    special = _trained(typical_words(with_, without), SPECIAL, k=48, d=6, dict_id=1)
     return (common + special or b" " * 8), (common or b" " * 8)
 
 
