@@ -53,7 +53,7 @@ _HELD = 1 << 20
 #: Bytes of a rare token's key beside its bucket.
 _KEY_BYTES = 5
 #: Members of a pivot that are compared with one another at once, and partners of a class that are verified in one lane.
-BLOCK, LANE = 1024, 512
+BLOCK, LANE = 512, 512
 #: Stands for a null id.
 _NO_ID = -(1 << 63)
 
