@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -19,29 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir.  Only a session on one machine (tests) may leave it unset: it gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and any executor can read it."""
-    spark = df.sparkSession
+def _path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_folder(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Writes df to the shared folder, in a folder for each value of `by`, and reads it back: the lineage ends there, and any executor can read it."""
+    spark = df.sparkSession
+    path = _path(spark, tag)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def bucketed(df: DataFrame, tag: str, keys: Sequence[str]) -> DataFrame:
+    """As stored(), bucketed and sorted by the keys, so that joins and sums by them need no shuffle of it."""
+    spark = df.sparkSession
+    name, path = f"{tag}_{uuid.uuid4().hex}", _path(spark, tag)
+    many = partitions(spark)
+    # A task writes whole buckets, one file each.
+    df.repartition(many, *keys).write.bucketBy(many, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._stored_at, out._stored_as = path, name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Deletes a table that stored() wrote and that nothing reads any more."""
+    """Deletes a table that stored() or bucketed() wrote and that nothing reads any more."""
     spark = df.sparkSession
+    if name := getattr(df, "_stored_as", None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

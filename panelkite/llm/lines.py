@@ -1,12 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Documents come in batches of descending id.  A batch's long lines become one
-row for each line hash (how many documents, and the first of them); merged
-against the runs so far, hashes that the runs lack get their keeper (the
-largest id, as ids descend), all others only add to the count; the result,
-sorted by hash, is the newest run.  When a level has `fanout` runs they are
-merged into one run of the next level.  At last the runs give the lines to
-drop: in at least `copies` documents, and not in the keeper.
+The long lines of all documents are hashed once and stored by batch; batches
+have descending ids, and their number follows the documents.  A batch's lines
+become one row for each hash (how many documents, and the largest id).  An
+anti-join with the runs so far tells which hashes are new: only those get that
+id as their keeper, all others only add to the count.  The rows, bucketed and
+sorted by hash, are the newest run, so that joins read runs as they lie.  When a
+level has `fanout` runs they are merged into one run of the next level.  At last
+the runs give the lines to drop: in at least `copies` documents, and not in the
+keeper.
 
 Hashes are 128 bits.  Null or empty texts are one empty line and are kept;
 empty tables give empty results; a document id that occurs in several rows
@@ -27,8 +29,11 @@ from panelkite.llm import _base
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-BATCHES = 4
+#: Batches at least, and documents of a batch at most, about.
+BATCHES, BATCH_ROWS = 4, 1_000_000_000
 FANOUT = 2
+#: Stands for a null id.
+_NO_ID = -(1 << 63)
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -44,25 +49,32 @@ class LineRuns:
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        """The oldest first."""
+        return [run for level in self.levels[::-1] for run in level]
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
+        """One run's rows from several, the oldest first, by merge joins; one of them alone has a hash's keeper."""
+        both = runs[0].select("hi", "lo", "n", "top")
         for run in runs[1:]:
-            both = both.unionByName(run)
-        return both.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+            newer = run.select("hi", "lo", F.col("n").alias("_n"), F.col("top").alias("_top"))
+            both = both.join(newer, ["hi", "lo"], "full").select("hi", "lo", (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_top", "top").alias("top"))
+        return both
+
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """(hi, lo, top) of the hashes that no run has."""
+        out = batch.select("hi", "lo", "top")
+        for run in self.runs():
+            out = out.join(run.select("hi", "lo"), ["hi", "lo"], "left_anti")
+        return out
 
     def add(self, batch: DataFrame) -> None:
         """batch: one row (hi, lo, n, top) for each hash."""
-        for run in self.runs():
-            old = run.where("top IS NOT NULL").select("hi", "lo", F.lit(True).alias("_old"))
-            batch = batch.join(old, ["hi", "lo"], "left").withColumn("top", F.when(F.col("_old").isNull(), F.col("top"))).drop("_old")
-        self._push(0, batch)
+        self._push(0, batch.select("hi", "lo", "n").join(self.fresh(batch), ["hi", "lo"], "left"))
 
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(_base.stored(run.sortWithinPartitions("hi", "lo"), f"lines-{level}"))
+        self.levels[level].append(_base.bucketed(run, f"lines_{level}", ["hi", "lo"]))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._push(level + 1, self.merged(full))
@@ -71,7 +83,7 @@ class LineRuns:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
+    return docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID))).withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
 
 
 def _hashed(rows: DataFrame, least: int) -> DataFrame:
@@ -80,19 +92,21 @@ def _hashed(rows: DataFrame, least: int) -> DataFrame:
     return one.where(F.char_length("_key") >= least).select("_id", "_row", "_at", F.xxhash64("_key").alias("hi"), F.xxhash64(F.lit(1), F.col("_key")).alias("lo"))
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = LEAST_CHARS, copies: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(hi, lo, top): hashes found in at least `copies` documents, and the document that keeps the line."""
-    spark = docs.sparkSession
-    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
-    edges = [None, *sorted(set(cuts)), None]
+def long_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = LEAST_CHARS, batches: int | None = None) -> tuple[DataFrame, int]:
+    """Stored rows (_id, _row, _at, hi, lo, _batch) of all long lines, and the number of batches, the first of the largest ids."""
+    most = batches or max(BATCHES, -(-docs.count() // BATCH_ROWS))
+    cuts = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / most for i in range(1, most)], 1000).alias("c")).first()["c"] if most > 1 else None
+    cuts = sorted(set(cuts or []))
+    rows = _rows(docs.select(key, text), key, text).withColumn("_row", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    batch = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c > F.col("_id"))) if cuts else F.lit(0)
+    return _base.stored(_hashed(rows, chars).withColumn("_batch", batch), "long-lines", by="_batch"), len(cuts) + 1
+
+
+def repeated_lines(lines: DataFrame, batches: int, copies: int = LEAST_DOCS) -> DataFrame:
+    """Stored rows (hi, lo, top): hashes found in at least `copies` documents, and the document that keeps the line; lines and batches from long_lines."""
     log = LineRuns()
-    for low, high in list(zip(edges[:-1], edges[1:], strict=True))[::-1]:
-        part = docs.select(key, text)
-        if high is not None:
-            part = part.where((F.col(key) < high) | (F.col(key).isNull() if low is None else F.lit(False)))
-        if low is not None:
-            part = part.where(F.col(key) >= low)
-        rows = _hashed(_rows(part, key, text).withColumn("_row", F.lit(0)), chars).select("hi", "lo", "_id").distinct()
+    for k in range(batches):
+        rows = lines.where(F.col("_batch") == k).select("hi", "lo", "_id").distinct()
         log.add(rows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("top")))
     out = _base.stored(log.merged(log.runs()).where(F.col("n") >= copies).select("hi", "lo", "top"), "repeated-lines")
     for run in log.runs():
@@ -100,7 +114,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", cha
     return out
 
 
-def _marked(docs: DataFrame, key: str, text: str, **how: int) -> DataFrame:
+def _marked(docs: DataFrame, key: str, text: str, chars: int = LEAST_CHARS, copies: int = LEAST_DOCS, batches: int | None = None) -> DataFrame:
     """(_doc, _count, _dropped, _kept): the document, its lines, how many go, and the text without them."""
 
     @F.pandas_udf("string")
@@ -111,12 +125,12 @@ def _marked(docs: DataFrame, key: str, text: str, **how: int) -> DataFrame:
             out.append(None if value is None else "\n".join([x for i, x in enumerate(value.split("\n")) if i not in gone]))
         return pd.Series(out, dtype=object)
 
-    repeated = repeated_lines(docs, key, text, **how)
+    lines, count = long_lines(docs, key, text, chars, batches)
+    repeated = repeated_lines(lines, count, copies)
     fingerprint = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    lines = _hashed(_rows(docs.select(key, text), key, text).withColumn("_row", fingerprint), how.get("chars", LEAST_CHARS))
     drops = lines.join(repeated, ["hi", "lo"]).where("_id <> top").groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_set("_at").alias("_drop"))
     # The document's own columns travel as one, so that none is taken for ours.
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_id"), fingerprint.alias("_row"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("_id"), fingerprint.alias("_row"))
     joined = rows.join(drops, (F.col("_id") == F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
     whole = F.coalesce(F.col("_text"), F.lit(""))
     joined = joined.withColumn("_dropped", F.greatest(F.size("_drop"), F.lit(0)).cast("long"))

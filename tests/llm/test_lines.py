@@ -57,6 +57,40 @@ def test_runs_are_merged_by_level(spark):
     assert merged == {0: (1, 100), 1: (2, 100), 2: (3, 100), 3: (3, 99), 4: (3, 98), 5: (2, 97), 6: (1, 96)}
 
 
+def test_the_anti_join_decides_who_keeps_a_line(spark, monkeypatch):
+    long = "This very line is repeated in many documents, word by word."
+    df = spark.createDataFrame([(i, f"{long}\nown line of document {i}") for i in range(40)], "doc_id bigint, text string")
+    assert {i for i, _, dropped, _ in got(df) if not dropped} == {39}
+    monkeypatch.setattr(lines.LineRuns, "fresh", lambda self, batch: batch.select("hi", "lo", "top"))
+    assert {i for i, _, dropped, _ in got(df) if not dropped} != {39}
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    import re
+
+    log = lines.LineRuns(fanout=3)
+    one = lambda start: spark.range(start, start + 3000).selectExpr("id AS hi", "id * 7 AS lo", "1L AS n", "id AS top")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        log.add(one(0))
+        log.add(one(1500))
+        plan = log.merged(log.runs())._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        plan = log.fresh(one(9))._jdf.queryExecution().executedPlan().toString()
+        # Only the batch itself is dealt out.
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "LeftAnti" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert log.merged(log.runs()).agg(F.sum("n"), F.count("top")).first()[:] == (6000, 4500)
+
+
+def test_batches_follow_the_documents(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(lines, "BATCH_ROWS", 30)
+    assert lines.long_lines(docs)[1] == -(-len(texts) // 30)
+    assert got(docs) == brute(sorted(texts.items()))
+
+
 def test_odd_rows(odd, empty):
     rows = lines.marked(odd.withColumn("line_no", F.lit(1))).collect()
     assert len(rows) == 9
