@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -224,6 +225,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: Column, most:
     return rows.select(F.col(key).alias("key"), F.col("_y").alias("y"), F.col(text).alias("text"))
 
 
+def finite_vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors as rows in double precision) by length, of the vectors that are not null and have neither null nor non-finite components."""
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.maximum(lengths, 0))
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))
+    starts = ends - np.maximum(lengths, 0)
+    fine = (lengths >= 0) & (bad[ends] == bad[starts])
+    for length in np.unique(lengths[fine]).tolist():
+        own = np.flatnonzero(fine & (lengths == length))
+        yield own, flat[starts[own][:, None] + np.arange(length)]
+
+
 def append_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
