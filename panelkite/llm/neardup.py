@@ -8,16 +8,16 @@ a forest as they are found, and the forests of all passes are united.
 
 Windows miss links, the more the larger the table.  So every vector is then
 compared with every other: the vectors come in broadcast chunks of bounded
-bytes, each shown to all rows, in single precision where that decides and in
-double where it doesn't.  This counts all links and adds those between the
+bytes, each shown to its own and all later rows, in single precision where that
+decides and in double where it doesn't.  This counts all links and adds those between the
 components of the windows; no pairs are written.  Its time is quadratic in the
 number of different vectors; memory and disk aren't.
 
 Vectors that are null, zero, or hold null or non-finite components link with
 nothing and are their own component, as are vectors of different lengths to
-each other.  Empty tables give empty results; rows with the same id count as one
-vector each when links are counted and share the component; extra columns are
-ignored.
+each other.  Empty tables give empty results; repeated rows are one vector each,
+so copies of a row link with each other; rows with the same id share the
+component; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ PASSES = 6
 BITS = 64
 WINDOW = 24
 #: Bytes of vectors that are broadcast at a time (by hash, so about), and rows compared with them at once.
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
 SHOWN = 256
 SEED = 20
 
@@ -45,26 +45,22 @@ def usable(vector: list | None) -> bool:
     return bool(vector) and all(v is not None and np.isfinite(v) for v in vector) and any(v != 0 for v in vector)
 
 
-def _unit_rows(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(place, unit vector in double precision) of the usable vectors."""
-    for i, value in enumerate(column.to_pylist()):
-        if usable(value):
-            v = np.array(value, np.float64)
-            # First by the largest component, so that squares neither vanish nor overflow.
-            v /= np.abs(v).max()
-            yield i, v / np.sqrt(v @ v)
-
-
 def vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): unit vectors as bytes, usable ones only."""
+    """(id, v) of each row: the unit vector as bytes, null for those that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _base.slices(batches, 2048):
-            found = list(_unit_rows(batch.column(1)))
-            ids = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for _, v in found], pa.binary())], names=["id", "v"])
+            out: list[bytes | None] = [None] * batch.num_rows
+            for places, x in _base.finite_vectors(batch.column(1)):
+                # First by the largest component, so that squares neither vanish nor overflow.
+                most = np.abs(x).max(axis=1, initial=0)
+                places, x = places[most > 0], x[most > 0] / most[most > 0, None]
+                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                for i, v in zip(places.tolist(), x, strict=True):
+                    out[i] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
-    return rows.select(F.col(key).cast("long").alias("id"), vector).where("id IS NOT NULL").mapInArrow(run, "id bigint, v binary")
+    return rows.select(F.col(key).cast("long").alias("id"), vector).mapInArrow(run, "id bigint, v binary")
 
 
 def window_links(units: DataFrame, passes: int = PASSES, window: int = WINDOW, cosine: float = COSINE) -> DataFrame:
@@ -134,24 +130,29 @@ def _matches(x: np.ndarray, y: np.ndarray, y_single: np.ndarray, cosine: float)
 
 
 def all_links(vectors: DataFrame, cosine: float = COSINE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """From stored (key, v, n, root), v different ones: stored rows (key, links), how many vectors reach the cosine, itself included, and rows (u, v) that unite roots."""
+    """From stored (key, v, n, root), v different ones: stored rows (key, links), how many vectors reach the cosine, itself included, and rows (u, v) that unite roots.
+
+    A chunk is shown to its own rows and to those of later chunks, which counts for both.
+    """
     spark = vectors.sparkSession
     schema = "key bigint, links bigint, u bigint, v bigint"
     size = vectors.agg(F.sum(F.octet_length("v")).alias("s")).first()["s"] or 0
     many = -(-size // chunk_bytes)
+    part = F.pmod(F.xxhash64("key"), F.lit(max(many, 1)))
     parts = []
     for c in range(many):
-        own = vectors.where(F.pmod(F.xxhash64("key"), F.lit(many)) == c).select("v", "n", "root").collect()
-        shared = spark.sparkContext.broadcast([(bytes(r["v"]), r["n"], r["root"]) for r in own])
+        own = vectors.where(part == c).select("key", "v", "n", "root").collect()
+        shared = spark.sparkContext.broadcast([(bytes(r["v"]), r["n"], r["root"], r["key"]) for r in own])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, c=c) -> Iterator[pa.RecordBatch]:
             chunk: dict[int, list] = {}
             for row in shared.value:
                 chunk.setdefault(len(row[0]), []).append(row)
-            sides = {}
+            sides, counted = {}, {}
             for length, rows in chunk.items():
                 y = np.frombuffer(b"".join(r[0] for r in rows), np.float64).reshape(len(rows), -1)
                 sides[length] = y, y.astype(np.float32), np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows], np.int64)
+                counted[length] = np.zeros(len(rows))
             forest = _base.Forest()
 
             def now(roots: np.ndarray) -> np.ndarray:
@@ -159,7 +160,8 @@ def all_links(vectors: DataFrame, cosine: float = COSINE, chunk_bytes: int = CHU
                 return np.array([forest.find(x) for x in different.tolist()], np.int64)[place]
 
             for batch in _base.slices(batches, SHOWN):
-                keys, raw, above = (batch.column(k).to_pylist() for k in range(3))
+                keys, raw, above, copies, places = (batch.column(k).to_pylist() for k in range(5))
+                later, copies = np.array(places) > c, np.array(copies, np.float64)
                 lengths = np.array([len(r) for r in raw])
                 for length in sorted(set(lengths.tolist()) & set(sides)):
                     mine = np.flatnonzero(lengths == length)
@@ -167,6 +169,8 @@ def all_links(vectors: DataFrame, cosine: float = COSINE, chunk_bytes: int = CHU
                     x = np.frombuffer(b"".join(raw[k] for k in mine), np.float64).reshape(len(mine), -1)
                     i, j = _matches(x, y, single, cosine)
                     links = np.bincount(i, n[j], len(mine)).astype(np.int64)
+                    back = later[mine][i]
+                    counted[length] += np.bincount(j[back], copies[mine][i[back]], len(y))
                     seen = np.flatnonzero(links)
                     none = pa.nulls(len(seen), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in mine[seen]], pa.int64()), pa.array(links[seen]), none, none], names=["key", "links", "u", "v"])
@@ -180,12 +184,16 @@ def all_links(vectors: DataFrame, cosine: float = COSINE, chunk_bytes: int = CHU
                                 forest.link(u, v)
                             left, roots = now(left), now(roots)
                     sides[length] = y, single, n, roots
+            for length, total in counted.items():
+                seen = np.flatnonzero(total)
+                none = pa.nulls(len(seen), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk[length][k][3] for k in seen], pa.int64()), pa.array(total[seen].astype(np.int64)), none, none], names=["key", "links", "u", "v"])
             united = [(x, forest.find(x)) for x in list(forest.up)]
             none = pa.nulls(len(united), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, pa.array([u for u, _ in united], pa.int64()), pa.array([v for _, v in united], pa.int64())], names=["key", "links", "u", "v"])
 
         # More tasks than files: they are bound by comparing, not by reading.
-        spread = vectors.select("key", "v", "root").repartition(max(_base.partitions(spark), spark.sparkContext.defaultParallelism), "key")
+        spread = vectors.where(part >= c).select("key", "v", "root", "n", part.alias("part")).repartition(max(_base.partitions(spark), spark.sparkContext.defaultParallelism), "key")
         parts.append(_base.stored(spread.mapInArrow(run, schema), "links"))
         shared.destroy()
     return spark.read.schema(schema).parquet(*[p._stored_at for p in parts]) if parts else spark.createDataFrame([], schema)
@@ -193,21 +201,23 @@ def all_links(vectors: DataFrame, cosine: float = COSINE, chunk_bytes: int = CHU
 
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, **how: int) -> DataFrame:
     """(key, n_links, component_id, kept) for each row."""
-    units = _base.stored(vectors(rows, key, vector), "vectors")
+    every = _base.stored(vectors(rows, key, vector), "vectors")
+    units = every.where("id IS NOT NULL AND v IS NOT NULL")
     different = units.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("key", F.monotonically_increasing_id())
     different = _base.stored(different, "different")
+    # A row for each row: its id and the vector it has, by number.
     members = _base.stored(units.join(different.select("v", "key", F.col("id").alias("first")), "v").select("id", "key", "first"), "members")
     near = _base.components(window_links(different.select("id", "v"), cosine=cosine, **how))
     rooted = different.join(near, F.col("id") == F.col("node"), "left").select("key", "v", "n", F.coalesce("root", "id").alias("root"))
     found = all_links(_base.stored(rooted, "rooted"), cosine)
     edges = near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found.where("u IS NOT NULL").select("u", "v"))
     roots = _base.components(edges.unionByName(members.select(F.col("id").alias("u"), F.col("first").alias("v"))))
-    each = found.where("key IS NOT NULL").groupBy("key").agg(F.sum("links").alias("_n"))
-    links = members.join(each, "key").groupBy("id").agg(F.sum(F.col("_n") - 1).alias("n_links"))
-    found = links.join(roots, F.col("node") == F.col("id"), "left").select(F.col("id").alias("_node"), F.coalesce("root", "id").alias("_root"), F.col("n_links").alias("_links"))
-    out = rows.select(key).join(found, F.col(key) == F.col("_node"), "left")
-    component = F.coalesce(F.col("_root"), F.col(key).cast("long"))
-    return out.select(key, F.coalesce(F.col("_links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(key), F.lit(True)).alias("kept"))
+    # The vector itself is among those that reach the cosine.
+    each = found.where("key IS NOT NULL").groupBy("key").agg((F.sum("links") - 1).alias("n_links"))
+    linked = members.join(each, "key").join(roots, F.col("node") == F.col("id"), "left").select("id", "n_links", F.coalesce("root", "id").alias("component_id"))
+    alone = every.where("id IS NULL OR v IS NULL").join(roots, F.col("node") == F.col("id"), "left").select("id", F.lit(0).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").cast(dict(rows.dtypes)[key]).alias(key), "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,15 @@ def test_every_planted_link_is_found_beside_a_hub(spark):
     assert got == {int(i): (int(n), int(r)) for i, n, r in zip(ids, link.sum(1), root, strict=True)}
 
 
+def test_repeated_rows_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0]), (7, [1.0, 0.01]), (7, None), (None, [1.0, 0.0]), (8, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("component_id", F.lit("x"))
+    got = neardup.near_duplicates(df).collect()
+    # Ids 1 and 7 are one component, as rows of theirs link.
+    assert sorted(tuple(r) for r in got if r["vec_id"] is not None) == sorted([(1, 3, 1, True)] * 2 + [(2, 3, 1, False), (7, 1, 1, False), (7, 1, 1, False), (7, 3, 1, False), (7, 0, 1, False), (8, 0, 8, True)])
+    assert [tuple(r) for r in got if r["vec_id"] is None] == [(None, 0, None, True)]
+
+
 def test_chunks_give_the_same_links(spark):
     rng = np.random.default_rng(6)
     rows = [(k, k, (v / np.linalg.norm(v)).tobytes()) for k, v in enumerate(rng.normal(size=(300, 3)))]
