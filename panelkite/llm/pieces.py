@@ -9,7 +9,8 @@ byte spans of the original text.
 
 Null texts count as empty and give the end id alone.  Empty tables give empty
 results, repeated rows are separate rows, a text of any length is encoded
-whole, and columns besides key and text are ignored.
+whole, and columns besides key and text are ignored, also such as are named like
+a column of ours.
 """
 
 from __future__ import annotations
@@ -44,12 +45,17 @@ class CharMap:
             (size,) = struct.unpack_from("<I", compiled)
             self.units = np.frombuffer(compiled, "<u4", size // 4, 4)
             self.texts = compiled[4 + size :]
+            root = self._below(0)
+            self.first = np.array([root ^ b < len(self.units) and int(self.units[root ^ b]) & 0x800000FF == b for b in range(256)])
+
+    def _below(self, node: int) -> int:
+        unit = int(self.units[node])
+        return node ^ (unit >> 10) << ((unit & 0x200) >> 6)
 
     def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
         """(bytes read, replacement) of the longest key that raw[at:] begins with."""
         units, found = self.units, None
-        unit = int(units[0])
-        node = (unit >> 10) << ((unit & 0x200) >> 6)
+        node = self._below(0)
         for i in range(at, len(raw)):
             node ^= raw[i]
             unit = int(units[node])
@@ -66,20 +72,17 @@ class CharMap:
         raw = text.encode()
         if not len(self.units):
             return raw, np.arange(len(raw) + 1)
+        # Keys are whole characters, so one can only begin where a key's first byte stands.
+        starts = np.flatnonzero(self.first[np.frombuffer(raw, np.uint8)])
         out, source, at = [], [], 0
-        while at < len(raw):
-            hit = self.longest(raw, at)
-            if hit is None:
-                lead = raw[at]
-                width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                out.append(raw[at : at + width])
-                source.extend(range(at, at + width))
-            else:
+        for start in starts.tolist():
+            if start >= at and (hit := self.longest(raw, start)):
                 width, new = hit
-                out.append(new)
-                source.extend([at] * len(new))
-            at += width
-        return b"".join(out), np.array([*source, len(raw)])
+                out += [raw[at:start], new]
+                source += [np.arange(at, start), np.full(len(new), start)]
+                at = start + width
+        out.append(raw[at:])
+        return b"".join(out), np.concatenate([*source, np.arange(at, len(raw) + 1)])
 
 
 class PieceCodec:
@@ -110,7 +113,12 @@ class PieceCodec:
         """(ids with the end id, byte offsets): piece i covers offsets[i]:offsets[i+1] of the text's UTF-8."""
         normal = [self.map.normalise(t or "") for t in texts]
         coded = self.plain.encode([raw.decode() for raw, _ in normal], num_threads=1)
-        for own, (raw, source) in zip(coded, normal, strict=True):
+        for own, (raw, source), text in zip(coded, normal, texts, strict=True):
+            if text and not raw:
+                # Nothing is left but the mark that stands before every text.
+                end = len(text.encode())
+                yield np.array([self.lib.piece_to_id(MARK), self.lib.eos_id()], np.int32), np.array([0, end, end])
+                continue
             ids = np.array([*own, self.lib.eos_id()], np.int32)
             at = np.concatenate(([0], np.cumsum(self.size[ids])))
             yield ids, source[self._unescaped(raw)[at]]
@@ -144,7 +152,10 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", key: st
 
 
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Counts and hashes of what encode() and decode() give, worked out where they are made, so that no ids are moved."""
+    """Counts and hashes of what encode() and decode() give, worked out where they are made, so that no ids are moved.
+
+    offsets_sha256 is of the pieces' byte offsets as little-endian 64-bit numbers.
+    """
     path = path or model_path()
 
     def sha(s: str) -> str:
@@ -153,18 +164,19 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text", key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(path)
         for batch in _base.slices(batches, 128):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for ids, offsets in codec.encode(batch.column(1).to_pylist()):
                 listed = ids.tolist()
                 out[0].append(len(listed))
                 out[1].append(sha(" ".join(map(codec.digits.__getitem__, listed))))
                 out[2].append(sha(codec.decode(listed)))
                 out[3].append(int(offsets[-1]))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+                out[4].append(hashlib.sha256(offsets.astype("<i8").tobytes()).hexdigest())
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out, kinds)], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "offsets_sha256"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint, offsets_sha256 string").withColumnRenamed("key", key)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelkite.llm import pieces
 
@@ -45,6 +46,23 @@ def test_query(spark, sf_dir, texts):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(LIB.decode(ids).encode()).hexdigest()
+        assert r["offsets_sha256"] == hashlib.sha256(b"".join(x.to_bytes(8, "little") for x in by_hand(texts[r["doc_id"]] or "", ids))).hexdigest()
+
+
+def by_hand(text, ids):
+    """Where each piece begins in the text's UTF-8, and the end, from the pieces' names alone."""
+    raw, at, out = "▁" + text.replace(" ", "▁") if text else "", 0, []
+    # Byte in the marked text to byte in the text: marks of spaces are three bytes for one, the first for none.
+    back, here = [], 0
+    for k, c in enumerate(raw):
+        own = 0 if k == 0 else len(text[k - 1].encode())
+        back += [here if c == "▁" and (k == 0 or text[k - 1] == " ") else here + j for j in range(len(c.encode()))]
+        here += own
+    back.append(here)
+    for i in ids:
+        out.append(back[at])
+        at += 0 if i == LIB.eos_id() else 1 if LIB.is_byte(i) else len(LIB.id_to_piece(i).encode())
+    return [*out, back[at]]
 
 
 def double_array(keys):
@@ -95,6 +113,34 @@ def test_compiled_maps_take_the_longest_key():
     assert source[got.index(b"d")] == raw.index(b"d")
 
 
+def test_a_model_with_a_map_encodes_as_the_library_does(tmp_path):
+    from pathlib import Path
+
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(Path(pieces.model_path()).read_bytes())
+    keys = {"ﬁ".encode(): b"fi", "ａ".encode(): b"a", "ａｂ".encode(): b"the ", "é".encode(): "é".encode(), "½".encode(): b" 1/2", b"\t": b" ", "€".encode(): b""}
+    proto.normalizer_spec.precompiled_charsmap = double_array(keys)
+    path = str(tmp_path / "mapped.model")
+    Path(path).write_bytes(proto.SerializeToString())
+    lib, codec = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceCodec(path)
+    for text in ["ﬁve ａnd ａｂ cafés", "", "plain text", "ａｂａ½\t½ é€é", "€", "日本 ﬁ 語" * 50]:
+        ((ids, offsets),) = codec.encode([text])
+        assert ids.tolist() == lib.encode(text) + [lib.eos_id()]
+        raw = text.encode()
+        assert offsets[0] == 0 and offsets[-1] == len(raw) and (offsets[1:] >= offsets[:-1]).all()
+        # Every span begins and ends between the text's characters, save for byte pieces.
+        assert all(lib.is_byte(int(i)) or raw[a:b].decode() is not None for i, a, b in zip(ids, offsets[:-1], offsets[1:], strict=True))
+    assert codec.decode(lib.encode("ａｂ")) == "the "
+
+
+def test_other_columns_may_have_our_names(odd):
+    other = odd.withColumns({"key": F.lit(1), "pieces": F.lit("x"), "offsets": F.lit(2), "n_tokens": F.lit("y")})
+    assert pieces.encode(other).columns == ["doc_id", "pieces", "offsets"] and pieces.encode(other).count() == 9
+    assert pieces.digests(other).where("n_bytes IS NULL").count() == 0
+
+
 def test_odd_rows(odd, empty):
     rows = pieces.encode(odd).collect()
     assert len(rows) == 9
