@@ -5,8 +5,9 @@ corpus co-occurrence tells how strongly a term reveals such an entity: with
 p(k) the share of all words that stand near an entity of kind k, and p(k | t)
 that share among a term's own occurrences, the term discloses
 PMI(t; k) / IC(k) = log(p(k | t) / p(k)) / -log p(k), 1 if it never stands
-elsewhere.  In documents with an entity of that kind, terms above a first
-threshold are generalised to their kind of word, above a second removed.
+elsewhere.  In all documents, terms above a first threshold for some kind are
+generalised to their kind of word, above a second removed.  A term that stands
+near entities of a kind fewer than 8 times is harmless: chance could do that.
 
 Terms are counted one by one, by the 64-bit hash of the whole word: first near
 entities, then, for terms seen there often enough, in all documents.  A bitmap
@@ -197,21 +198,28 @@ def disclosures(docs: DataFrame, text: str = "text") -> Terms:
     return hashes[order], np.stack([found[f"_level{k}"].to_numpy().astype(np.uint8)[order] for k in range(len(KINDS))])
 
 
-def all_spans(text: str, terms: Terms) -> list[tuple[int, int, int]]:
-    """Base spans and those that the method adds (kinds 4 and 5), by start, then kind."""
+def disclosing(texts: list[str | None], terms: Terms) -> set[int]:
+    """Places of the texts that hold a term that isn't harmless."""
+    hashes, _ = terms
+    out: set[int] = set()
+    if len(hashes):
+        for first, own, bounds in _text.words(texts):
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            out.update((first + np.searchsorted(bounds, np.flatnonzero(hashes[at] == own), "right") - 1).tolist())
+    return out
+
+
+def all_spans(text: str, terms: Terms, disclosed: bool = True) -> list[tuple[int, int, int]]:
+    """Base spans and those that the method adds (kinds 4 and 5), by start, then kind; disclosed: whether there may be any to add."""
     base = base_spans(text)
-    if not base:
+    hashes, levels = terms
+    if not disclosed or not len(hashes):
         return base
     places, _ = around(text, base)
     real = [(s, e) for s, e in places if s >= 0]
-    if not real:
-        return base
-    hashes, levels = terms
-    if not len(hashes):
-        return base
     own = term_hashes([text[s:e] for s, e in real])
     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    level = np.where(hashes[at] == own, levels[np.ix_(sorted({k for _, k, _ in base}), at)].max(axis=0), 0)
+    level = np.where(hashes[at] == own, levels[:, at].max(axis=0), 0)
     return sorted([*base, *[(*real[i][:1], 3 + int(level[i]), real[i][1]) for i in np.flatnonzero(level)]])
 
 
@@ -236,31 +244,34 @@ def _named(spans: list[tuple[int, int, int]]) -> str:
 
 
 def spans_of(docs: DataFrame, text: str = "text", clean: bool = True) -> DataFrame:
-    """docs with pii_email, pii_ip, pii_card, pii_phone, pii_base, pii_spans and, if asked for, pii_clean (the sanitised text)."""
+    """docs with pii_email, pii_ip, pii_card, pii_phone, pii_base, pii_spans, pii_found (how many spans) and, if asked for, pii_clean (the sanitised text)."""
     shared = docs.sparkSession.sparkContext.broadcast(disclosures(docs, text))
-    docs = docs.drop(*[f"pii_{k}" for k in KINDS], "pii_base", "pii_spans", "pii_clean")
+    docs = docs.drop(*[f"pii_{k}" for k in KINDS], "pii_base", "pii_spans", "pii_found", "pii_clean")
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
         for batch in _base.slices(batches):
-            new: dict[str, list] = {f"pii_{k}": [] for k in KINDS} | {"pii_base": [], "pii_spans": []} | ({"pii_clean": []} if clean else {})
-            for value in batch.column(place).to_pylist():
-                spans = all_spans(value or "", terms)
+            new: dict[str, list] = {f"pii_{k}": [] for k in KINDS} | {"pii_base": [], "pii_spans": [], "pii_found": []} | ({"pii_clean": []} if clean else {})
+            texts = batch.column(place).to_pylist()
+            disclosed = disclosing(texts, terms)
+            for i, value in enumerate(texts):
+                spans = all_spans(value or "", terms, i in disclosed)
                 base = [s for s in spans if s[1] < len(KINDS)]
-                for i, k in enumerate(KINDS):
-                    new[f"pii_{k}"].append(sum(s[1] == i for s in base))
+                for j, k in enumerate(KINDS):
+                    new[f"pii_{k}"].append(sum(s[1] == j for s in base))
                 new["pii_base"].append(_named(base))
                 new["pii_spans"].append(_named(spans))
+                new["pii_found"].append(len(spans))
                 if clean:
                     new["pii_clean"].append(sanitised(value or "", spans))
-            kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 3
+            kinds = [pa.int64()] * len(KINDS) + [pa.string(), pa.string(), pa.int64(), pa.string()]
             yield _base.append_columns(batch, {n: pa.array(v, k) for (n, v), k in zip(new.items(), kinds)})
 
-    extra = [*[(f"pii_{k}", "bigint") for k in KINDS], ("pii_base", "string"), ("pii_spans", "string"), *([("pii_clean", "string")] if clean else [])]
+    extra = [*[(f"pii_{k}", "bigint") for k in KINDS], ("pii_base", "string"), ("pii_spans", "string"), ("pii_found", "bigint"), *([("pii_clean", "string")] if clean else [])]
     return docs.mapInArrow(run, _base.schema_with(docs, *extra))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spans_of(_base.table(spark, sf_dir, "documents").select("doc_id", "text"), clean=False)
-    return done.select("doc_id", *[F.col(f"pii_{k}").alias(f"n_{k}") for k in KINDS], F.sha2(F.col("pii_base").cast("binary"), 256).alias("base_sha256"), F.col("pii_spans").alias("spans"))
+    return done.select("doc_id", *[F.col(f"pii_{k}").alias(f"n_{k}") for k in KINDS], F.sha2(F.col("pii_base").cast("binary"), 256).alias("base_sha256"), F.col("pii_spans").alias("spans"), F.col("pii_found").alias("n_spans"))

@@ -103,3 +103,31 @@ def test_disclosures_against_plain_counts(spark, docs, texts):
     hashes, levels = pii.disclosures(docs)
     assert {max(v) for v in want.values()} == {1, 2}
     assert dict(zip(hashes.tolist(), levels.T.tolist(), strict=True)) == want
+
+
+def test_terms_are_found_where_no_entity_stands(spark):
+    """What gives addresses away elsewhere is taken out of every document; the share found is measured."""
+    rows = [(i, f"please write to Zanzibarmail user{i}@mail.example for more plain words of every day {i}") for i in range(40)]
+    rows += [(100 + i, f"plain words of every day number {i} again and again") for i in range(400)]
+    rows += [(1000 + i, f"ask Zanzibarmail about plain words of day {i}") for i in range(4)]
+    got = {r["doc_id"]: r for r in pii.spans_of(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # Of the 44 places of the term, all; of other words without an entity, none.
+    assert all(got[1000 + i]["pii_base"] == "" and got[1000 + i]["pii_found"] == 1 and got[1000 + i]["pii_clean"].startswith("ask ") and "Zanzibar" not in got[1000 + i]["pii_clean"] for i in range(4))
+    assert all("Zanzibar" not in got[i]["pii_clean"] for i in range(40))
+    assert all(got[100 + i]["pii_found"] == 0 for i in range(400))
+
+
+def test_query_spans_against_plain_python(spark, sf_dir, texts):
+    """All spans of the whole table, word by word."""
+    hashes, levels = pii.disclosures(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    known = dict(zip(hashes.tolist(), levels.max(axis=0).tolist(), strict=True))
+    for r in pii.op2_pii(spark, sf_dir).collect():
+        text = texts[r["doc_id"]] or ""
+        base = pii.base_spans(text)
+        want = [(s, k, e) for s, k, e in base]
+        for m in pii.WORD.finditer(text):
+            level = known.get(int(pii.term_hashes([m[0]])[0])) if known else None
+            if level and not any(s < m.end() and m.start() < e for s, _, e in base):
+                want.append((m.start(), 3 + level, m.end()))
+        names = pii.KINDS + pii.ADDED
+        assert r["spans"] == ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(want)) and r["n_spans"] == len(want)
