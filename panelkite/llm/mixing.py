@@ -83,13 +83,13 @@ def queued(docs: DataFrame, source: str = "source", text: str = "text", key: str
     # The range with the cut: at most one row.
     cut = runs.join(F.broadcast(budget)).where("_before <= _budget").groupBy("_budget").agg(F.max(F.struct("_slot", "_before")).alias("_c")).select("_budget", F.col("_c._slot").alias("_cut"), F.col("_c._before").alias("_before"))
     marked = rows.withColumn("_slot", slot).join(F.broadcast(cut), F.lit(True), "left")
-    in_cut = F.col("_slot") == F.col("_cut")
-    # Only rows of the cut's range (1 / ranges of a source's virtual time) are ordered; others are spread.
-    lane = F.when(in_cut, F.lit(-1)).otherwise(F.pmod(F.hash("mix_order"), F.lit(8 * ranges)))
-    upto = Window.partitionBy(lane).orderBy("mix_finish", F.col("mix_source").asc_nulls_last(), *order, "mix_epoch").rowsBetween(Window.unboundedPreceding, 0)
+    in_cut = F.coalesce(F.col("_slot") == F.col("_cut"), F.lit(False))
+    # Only rows of the cut's range (1 / ranges of a source's virtual time) are dealt out again and ordered.
+    upto = Window.partitionBy("_cut").orderBy("mix_finish", F.col("mix_source").asc_nulls_last(), *order, "mix_epoch").rowsBetween(Window.unboundedPreceding, 0)
     at = F.col("_before") + F.sum("mix_size").over(upto)
-    taken = F.when(in_cut, at <= F.col("_budget")).otherwise(F.col("_slot") < F.col("_cut"))
-    return marked.withColumn("mix_taken", F.coalesce(taken, F.lit(False))).drop("_slot", "_cut", "_before", "_budget")
+    inside = marked.where(in_cut).withColumn("mix_taken", at <= F.col("_budget"))
+    outside = marked.where(~in_cut).withColumn("mix_taken", F.coalesce(F.col("_slot") < F.col("_cut"), F.lit(False)))
+    return outside.unionByName(inside).drop("_slot", "_cut", "_before", "_budget")
 
 
 def mix(docs: DataFrame, **how: object) -> DataFrame:
