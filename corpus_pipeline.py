@@ -1,13 +1,22 @@
 """A training corpus in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; between stages, documents are written as Parquet and read again.
+kept; between stages, documents are written as Parquet and read again, and what
+no later stage reads is deleted.
+
+Texts of any length are worked on whole.  Null and empty texts: the classifier
+scores them as any other and may drop them; line dedup leaves them as they are
+(null becomes empty); they have no near duplicates; they have no words, so the
+mix takes none.  A null id stays null; documents without one are told apart by
+their texts.  Of rows with equal id and text the near-duplicate stage keeps one;
+equal ids with different texts are different documents.  Of near duplicates the
+one with the smallest id stays.  A null source is a source of its own.  Nulls in
+other columns, and columns whose names are used inside, pass through.  Empty
+tables give empty tables with the same columns.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +69,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _base.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        path = f"{_base.shared_folder(spark)}/pipeline/{name.split()[0].lower()}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = _base.stored(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
+        if before is not None:
+            _base.discard(before)
+        before = docs
     return docs
 
 
