@@ -8,6 +8,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _BASES = {"month": "month", "mon": "month", "week": "week", "w": "week", "day": "day", "d": "day", "minute": "min", "min": "min"}
 #: Minutes of trading.
 MINUTES = {"min": 1, "day": 240, "week": 5 * 240, "month": 20 * 240}
@@ -77,3 +80,15 @@ class Sessions:
             yield now
             moved = {k: self.shift(v, step, "sliding" if k == "test" else how) for k, v in now.items()}
             now = None if any(v is None for v in moved.values()) else moved  # type: ignore[assignment]
+
+
+def epsilon_change(moment: Column, direction: str = "backward") -> Column:
+    """The least step of a calendar, one second, to the past or to the future."""
+    if direction not in ("backward", "forward"):
+        raise ValueError("direction is backward or forward")
+    return moment - F.expr("INTERVAL 1 SECOND") if direction == "backward" else moment + F.expr("INTERVAL 1 SECOND")
+
+
+def concat_date_time(day: Column, time: Column) -> Column:
+    """A date and a time of day (its text) as one moment."""
+    return F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), time).cast("timestamp_ntz")

@@ -109,3 +109,9 @@ def shift_dates(dates: DataFrame, calendar: DataFrame, by: int, clip: bool = Fal
 def month_ends(calendar: DataFrame) -> DataFrame:
     """The last session of each month."""
     return calendar.groupBy(F.date_trunc("month", TIME)).agg(F.max(TIME).alias(TIME)).select(TIME)
+
+
+def aligned(left: DataFrame, right: DataFrame, value: str, how: str = "full") -> DataFrame:
+    """(instrument, datetime, left, right): two series whose rows don't match, on the keys that either has (or the left one)."""
+    a, b = left.select(*KEYS, F.col(value).alias("left")), right.select(*KEYS, F.col(value).alias("right"))
+    return a.join(b, KEYS, how)

@@ -159,3 +159,8 @@ def diagnostics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def top_k(signal: DataFrame, k: int, best: bool = True) -> DataFrame:
     order = on_date().orderBy(F.desc_nulls_last("score") if best else F.asc_nulls_last("score"), INSTRUMENT)
     return signal.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def grouped_ensemble(predictions: DataFrame, keys: Sequence[str], score: Column) -> DataFrame:
+    """(keys, datetime, instrument, score): models that share the keys become one by an aggregate, such as an average or the latest."""
+    return predictions.groupBy(*keys, TIME, INSTRUMENT).agg(score.alias("score"))

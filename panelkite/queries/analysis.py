@@ -89,8 +89,7 @@ def turnover(s: SparkSession, d: str) -> DataFrame:
 
 
 def monthly_ic(s: SparkSession, d: str) -> DataFrame:
-    daily = signals.ic(signal(s, d), ranks=False)
-    return rounded(daily.groupBy(F.year(TIME).alias("year"), F.month(TIME).alias("month")).agg(F.avg("ic").alias("ic")))
+    return rounded(signals.monthly_ic(signals.ic(signal(s, d), ranks=False)))
 
 
 def long_short_backtest(s: SparkSession, d: str) -> DataFrame:
@@ -98,7 +97,7 @@ def long_short_backtest(s: SparkSession, d: str) -> DataFrame:
 
 
 def feature_diagnostics(s: SparkSession, d: str) -> DataFrame:
-    return rounded(signals.diagnostics(xy(s, d), ["x", "y"]).drop("skew", "kurt"), 5)
+    return rounded(signals.diagnostics(xy(s, d), ["x", "y"]), 4)
 
 
 def topk_per_date(s: SparkSession, d: str) -> DataFrame:
@@ -197,7 +196,9 @@ def covariance_empirical(s: SparkSession, d: str) -> DataFrame:
 
 def ts_sample_list(s: SparkSession, d: str) -> DataFrame:
     rows = sampler.samples(tables.bars(s, d).select(INSTRUMENT, TIME, "volume", "high"), ["volume", "high"], 4)
-    return rows.select(INSTRUMENT, TIME, F.transform("sample", lambda v: F.coalesce(v[0], F.lit(-1.0))).alias("sample")).select(INSTRUMENT, TIME, F.array_join(F.transform("sample", lambda v: v.cast("int").cast("string")), ",").alias("sample"))
+    # Both columns of each slot, in cents.
+    cell = lambda v: F.concat_ws(";", *[F.round(F.coalesce(v[i], F.lit(-1.0)) * 100).cast("bigint").cast("string") for i in (0, 1)])
+    return rows.select(INSTRUMENT, TIME, F.array_join(F.transform("sample", cell), ",").alias("sample"))
 
 
 def segments(s: SparkSession, d: str) -> DataFrame:
@@ -321,6 +322,13 @@ def queries() -> dict[str, Query]:
 
 _XY = f"""{sql.DENSE}, r AS MATERIALIZED (
   SELECT instrument, datetime, close / lag(close) OVER i - 1 AS x, avg(volume) OVER w3 AS y FROM b {sql.windows(3)})"""
+
+
+def xy_sql() -> str:
+    """Common table expressions that end in r (instrument, datetime, x, y), the columns of XY."""
+    return _XY
+
+
 _FITTED = f"fit AS MATERIALIZED (SELECT * FROM r WHERE datetime BETWEEN TIMESTAMP '{FIT[0]}' AND TIMESTAMP '{FIT[1]}')"
 
 
@@ -399,10 +407,10 @@ SELECT datetime, round(g1, 6) AS group1, round(g2, 6) AS group2, round(g3, 6) AS
         "turnover": f"""{scored}, s AS (SELECT *, floor(count(*) OVER (PARTITION BY datetime) / 3) AS k, row_number() OVER (PARTITION BY datetime ORDER BY score DESC, instrument) AS top, row_number() OVER (PARTITION BY datetime ORDER BY score, instrument) AS low FROM o)
 SELECT a.datetime, round(1 - count(*) FILTER (a.top <= a.k AND z.top <= z.k) / nullif(max(a.k), 0), 6) AS top, round(1 - count(*) FILTER (a.low <= a.k AND z.low <= z.k) / nullif(max(a.k), 0), 6) AS bottom
 FROM s a JOIN s z ON a.instrument = z.instrument AND a.n = z.n + 1 GROUP BY 1""",
-        "monthly_ic": f"{pairs}{ranked} SELECT CAST(year(datetime) AS INT) AS year, CAST(month(datetime) AS INT) AS month, round(avg(ic), 6) AS ic FROM ic GROUP BY 1, 2",
+        "monthly_ic": f"{pairs}{ranked} SELECT CAST(year(datetime) AS INT) AS year, " + ", ".join(f'round(avg(ic) FILTER (month(datetime) = {m}), 6) AS "{m}"' for m in range(1, 13)) + " FROM ic GROUP BY 1",
         "long_short_backtest": f"""{pairs}{ends}, m AS (SELECT datetime, avg(label) FILTER (top <= 2) - avg(label) AS l, avg(label) - avg(label) FILTER (low <= 2) AS s FROM t GROUP BY 1)
 SELECT datetime, round(l, 6) AS long, round(s, 6) AS short, round(l + s, 6) AS long_short FROM m""",
-        "feature_diagnostics": " UNION ALL ".join(f"(WITH {_XY} SELECT datetime, '{c}' AS name, count(*) AS n, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_missing, CAST(0 AS BIGINT) AS n_infinite, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std FROM r GROUP BY 1)" for c in "xy"),
+        "feature_diagnostics": " UNION ALL ".join(f"(WITH {_XY} SELECT datetime, '{c}' AS name, count(*) AS n, count(DISTINCT {c}) AS n_distinct, count(*) - count({c}) AS n_missing, CAST(0 AS BIGINT) AS n_infinite, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, CASE WHEN count({c}) >= 3 AND stddev_pop({c}) > 0 THEN round(skewness({c}), 4) END AS skew, CASE WHEN count({c}) >= 4 AND stddev_pop({c}) > 0 THEN round(kurtosis({c}), 4) END AS kurt FROM r GROUP BY 1)" for c in "xy"),
         "topk_per_date": f"WITH {sql.SIGNAL} {tops.format(' DESC')}",
         "bottomk_per_date": f"WITH {sql.SIGNAL} {tops.format('')}",
         "risk_sum": f"{daily}{curve} SELECT round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(avg(r) * 238, 6) AS annualized_return, round(avg(r) / stddev_samp(r) * sqrt(238), 6) AS information_ratio, round(min(d), 6) AS max_drawdown FROM dd",
@@ -433,8 +441,8 @@ SELECT datetime, status, round(avg(r), 4) AS rank_ratio FROM s GROUP BY 1, 2""",
         "covariance_empirical": f"""WITH {sql.DENSE}, f AS (SELECT instrument, datetime, close / lag(close) OVER i - 1 AS r FROM b {sql.windows()}), u AS MATERIALIZED (SELECT * FROM f WHERE r IS NOT NULL),
 c AS MATERIALIZED (SELECT instrument, datetime, r - avg(r) OVER (PARTITION BY instrument) AS x FROM u)
 SELECT l.instrument AS a, z.instrument AS b, round(sum(l.x * z.x) / (SELECT count(DISTINCT datetime) FROM u), 5) AS cov FROM c l JOIN c z USING (datetime) GROUP BY 1, 2""",
-        "ts_sample_list": f"""WITH {sql.SPINE}, s AS (SELECT instrument, datetime, close, list(coalesce(CAST(volume AS INT), -1)) OVER w4 AS xs FROM b {sql.windows(4)})
-SELECT instrument, datetime, repeat('-1,', CAST(4 - len(xs) AS INT)) || array_to_string(xs, ',') AS sample FROM s WHERE close IS NOT NULL""",
+        "ts_sample_list": f"""WITH {sql.SPINE}, s AS (SELECT instrument, datetime, close, list(CAST(round(coalesce(volume, -1) * 100) AS BIGINT) || ';' || CAST(round(coalesce(high, -1) * 100) AS BIGINT)) OVER w4 AS xs FROM b {sql.windows(4)})
+SELECT instrument, datetime, repeat('-100;-100,', CAST(4 - len(xs) AS INT)) || array_to_string(xs, ',') AS sample FROM s WHERE close IS NOT NULL""",
         "segments": f"WITH {sql.BARS} SELECT instrument, datetime, close, CASE WHEN year(datetime) < 1997 THEN 'train' ELSE 'test' END AS segment FROM bars WHERE datetime BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1997-12-31'",
         "last_moments": f"WITH {sql.BARS} SELECT instrument, datetime, close FROM bars WHERE datetime IN (SELECT DISTINCT datetime FROM bars ORDER BY datetime DESC LIMIT 5)",
         "twap_slices": "SELECT o_orderkey AS instrument, round(o_totalprice / 4, 6) AS amount, CAST(slot AS INT) AS slot FROM orders, (VALUES (0), (1), (2), (3)) s(slot)",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelkite.queries import analysis, expressions, panels
+from panelkite.queries import analysis, expressions, panels, workflow
 
-_MODULES = (expressions, panels, analysis)
+_MODULES = (expressions, panels, analysis, workflow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,13 +17,13 @@ from panelkite.sources import tables
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _rounded(df: DataFrame, digits: int) -> DataFrame:
+def rounded(df: DataFrame, digits: int) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(INSTRUMENT, TIME, *[(F.round(F.col(c), digits) if kinds[c] == "double" else F.col(c)).alias(c) for c in df.columns if c not in (INSTRUMENT, TIME)])
 
 
 def _query(fields: dict[str, str], panel: Callable[[SparkSession, str], Panel], digits: int) -> Query:
-    return lambda spark, folder: _rounded(panel(spark, folder).features(fields), digits)
+    return lambda spark, folder: rounded(panel(spark, folder).features(fields), digits)
 
 
 #: name: (expression, SQL over one level of lags c1 = close before, v1 = volume before).
@@ -133,7 +133,7 @@ CANDLE_SQL = {
     "KSFT2": "(2 * close - high - low) / (high - low + 1e-12)",
 }
 _TEXT = {"date_of", "gt", "ge", "lt", "le", "eq", "ne", "and", "or", "not", "is_null", "is_inf"}
-_LAGGED = """l AS (
+LAGGED = """l AS (
   SELECT *, lag(close) OVER i AS c1, lag(volume) OVER i AS v1,
          CASE WHEN close > lag(close) OVER i THEN 1.0 ELSE 0.0 END AS up, CASE WHEN close < lag(close) OVER i THEN 1.0 ELSE 0.0 END AS down
   FROM b WINDOW i AS (PARTITION BY instrument ORDER BY cal_idx))"""
@@ -141,7 +141,7 @@ _LAGGED = """l AS (
 
 def _row_sql(name: str, expression: str) -> str:
     value = expression if name in _TEXT else f"round({expression}, 6)"
-    return f"WITH {sql.DENSE}, {_LAGGED} SELECT instrument, datetime, {value} AS v FROM l"
+    return f"WITH {sql.DENSE}, {LAGGED} SELECT instrument, datetime, {value} AS v FROM l"
 
 
 def _list_sql(expression: str) -> str:
@@ -154,7 +154,7 @@ def _family_sql(family: str, sizes: tuple[int, ...]) -> str:
     column = "MIN" if family == "LOW" else family
     values = ", ".join(f"{FAMILY_SQL[family].format(d=d)} AS {column}{d}" for d in sizes)
     outer = ", ".join(f"{sql.finite(f'{column}{d}')} AS {column}{d}" for d in sizes)
-    return f"WITH {sql.DENSE}, {_LAGGED}, q AS (SELECT *{lists} FROM l {sql.windows(*sizes)}), r AS (SELECT instrument, datetime, {values} FROM q {sql.windows(*sizes)}) SELECT instrument, datetime, {outer} FROM r"
+    return f"WITH {sql.DENSE}, {LAGGED}, q AS (SELECT *{lists} FROM l {sql.windows(*sizes)}), r AS (SELECT instrument, datetime, {values} FROM q {sql.windows(*sizes)}) SELECT instrument, datetime, {outer} FROM r"
 
 
 def _ema_sql(decay: float) -> str:
@@ -168,32 +168,32 @@ def _clipped(spark: SparkSession, folder: str) -> DataFrame:
     """An operator that a user registers: values cut to a band."""
     registry.register("Clip", lambda x, low, high: F.greatest(F.least(x, high), low))
     try:
-        return _rounded(tables.dense_panel(spark, folder).features({"v": "Clip($close/Ref($close,1)-1,-0.5,0.5)"}), 6)
+        return rounded(tables.dense_panel(spark, folder).features({"v": "Clip($close/Ref($close,1)-1,-0.5,0.5)"}), 6)
     finally:
         registry.unregister("Clip")
 
 
 def _shared_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(tables.spine_panel(spark, folder).features({"v": "$close/ChangeInstrument(1,$close)"}), 6)
+    return rounded(tables.spine_panel(spark, folder).features({"v": "$close/ChangeInstrument(1,$close)"}), 6)
 
 
 def _mask(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(tables.spine_panel(spark, folder).features({"v": "Mask($volume,2)"}), 6)
+    return rounded(tables.spine_panel(spark, folder).features({"v": "Mask($volume,2)"}), 6)
 
 
 def _excess(spark: SparkSession, folder: str) -> DataFrame:
     own = "($close/Ref($close,1)-1)"
     other = f"ChangeInstrument(1,{own})"
-    return _rounded(tables.spine_panel(spark, folder).features({"v": f"{own}-Cov({own},{other},60)/Var({other},60)*{other}"}), 4)
+    return rounded(tables.spine_panel(spark, folder).features({"v": f"{own}-Cov({own},{other},60)/Var({other},60)*{other}"}), 4)
 
 
 def _time_range(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(Panel.dense(tables.ticks(spark, folder)).features({"v": "Rolling($value,'7200s','sum')"}), 4)
+    return rounded(Panel.dense(tables.ticks(spark, folder)).features({"v": "Rolling($value,'7200s','sum')"}), 4)
 
 
 def _ranged(spark: SparkSession, folder: str) -> DataFrame:
     """A range of days: windows see the days before it."""
-    return _rounded(tables.dense_panel(spark, folder).features({"v": "Mean($close,20)/$close"}, start="1995-01-01", end="1995-12-31"), 6)
+    return rounded(tables.dense_panel(spark, folder).features({"v": "Mean($close,20)/$close"}, start="1995-01-01", end="1995-12-31"), 6)
 
 
 SIZES = (5, 20)
@@ -249,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
     out["factor_label"] = plain({"LABEL0": "lead(close, 2) OVER i / lead(close, 1) OVER i - 1"})
     names = {**{k: CANDLE_SQL[k] for k in ("KMID", "KLEN", "KUP", "KLOW")}, **{f"{'MIN' if f == 'LOW' else f}20": FAMILY_SQL[f].format(d=20) for f in ("ROC", "MA", "STD", "BETA", "MAX", "LOW", "CORR", "CNTP", "SUMP", "VMA")}}
     inner = ", ".join(f"{e} AS {n}" for n, e in names.items())
-    out["factor_benchmark"] = f"WITH {sql.DENSE}, {_LAGGED}, r AS (SELECT instrument, datetime, {inner} FROM l {sql.windows(20)}) SELECT instrument, datetime, {', '.join(f'{sql.finite(n)} AS {n}' for n in names)} FROM r"
+    out["factor_benchmark"] = f"WITH {sql.DENSE}, {LAGGED}, r AS (SELECT instrument, datetime, {inner} FROM l {sql.windows(20)}) SELECT instrument, datetime, {', '.join(f'{sql.finite(n)} AS {n}' for n in names)} FROM r"
     out |= {"ema_span": _ema_sql(2 / 6), "ema_alpha": _ema_sql(0.2), "ema_by_fraction": _ema_sql(0.2)}
     fill = "WITH {0} SELECT instrument, datetime, {1}(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY cal_idx ROWS BETWEEN {2}) AS v FROM b"
     out["ffill"] = fill.format(sql.SPINE, "last_value", "UNBOUNDED PRECEDING AND CURRENT ROW")
@@ -265,5 +265,5 @@ k AS (SELECT instrument, datetime, r - covar_samp(r, m) OVER w60 / nullif(var_sa
 SELECT instrument, datetime, {sql.finite('v', 4)} AS v FROM k"""
     out["roll_time_range"] = "SELECT user_id AS instrument, ts AS datetime, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW), 4) AS v FROM events"
     out["range_widening"] = f"WITH {sql.DENSE}, r AS (SELECT instrument, datetime, round(avg(close) OVER w20 / close, 6) AS v FROM b {sql.windows(20)}) SELECT * FROM r WHERE datetime BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'"
-    out["custom_op_registered"] = f"WITH {sql.DENSE}, {_LAGGED} SELECT instrument, datetime, round(CASE WHEN c1 IS NULL THEN 0.5 ELSE greatest(least(close / c1 - 1, 0.5), -0.5) END, 6) AS v FROM l"
+    out["custom_op_registered"] = f"WITH {sql.DENSE}, {LAGGED} SELECT instrument, datetime, round(CASE WHEN c1 IS NULL THEN 0.5 ELSE greatest(least(close / c1 - 1, 0.5), -0.5) END, 6) AS v FROM l"
     return out

@@ -99,3 +99,29 @@ def swap_market(name: Column, to: str = "suffix") -> Column:
     if to == "suffix":
         return F.regexp_replace(name, r"^([A-Za-z]{2})(\d+)$", "$2.$1")
     return F.regexp_replace(name, r"^(\d+)\.([A-Za-z]{2})$", "$2$1")
+
+
+def membership_changes(snapshots: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(instrument, datetime, change): "add" on the session after the last snapshot without a member, "remove" on the last one with it.
+
+    snapshots: rows (datetime, instrument) of an index's members; calendar: (datetime, cal_idx).
+    """
+    dates = snapshots.select(TIME).distinct().withColumn("_d", F.row_number().over(Window.orderBy(TIME)))
+    ends = dates.agg(F.max("_d").alias("_last"))
+    rows = snapshots.select(TIME, INSTRUMENT).distinct().join(dates, TIME)
+    near = Window.partitionBy(INSTRUMENT).orderBy("_d")
+    rows = rows.withColumns({"_before": F.lag("_d").over(near), "_after": F.lead("_d").over(near)}).join(F.broadcast(ends))
+    came = rows.where((F.col("_d") > 1) & ((F.col("_before") < F.col("_d") - 1) | F.col("_before").isNull())).select(INSTRUMENT, (F.col("_d") - 1).alias("_d"))
+    then = calendar.select(F.col("cal_idx"), F.col(TIME).alias("_t"))
+    following = calendar.select((F.col("cal_idx") - 1).alias("cal_idx"), F.col(TIME).alias("_next"))
+    after = dates.join(then, F.col(TIME) == F.col("_t")).join(following, "cal_idx").select("_d", F.col("_next").alias(TIME))
+    left = rows.where((F.col("_d") < F.col("_last")) & ((F.col("_after") > F.col("_d") + 1) | F.col("_after").isNull()))
+    return came.join(after, "_d").select(INSTRUMENT, TIME, F.lit("add").alias("change")).unionByName(left.select(INSTRUMENT, TIME, F.lit("remove").alias("change")))
+
+
+def adjust_minutes(minutes: DataFrame, daily: DataFrame, prices: Sequence[str] = PRICES) -> DataFrame:
+    """Minute prices times their day's factor, volume by it; daily: (instrument, day, factor)."""
+    rows = minutes.withColumn("day", F.to_date(TIME)).join(daily.select(INSTRUMENT, "day", "factor"), [INSTRUMENT, "day"], "left")
+    rows = rows.withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    own = [c for c in prices if c in minutes.columns]
+    return rows.withColumns({**{c: F.col(c) * F.col("factor") for c in own}, **({"volume": F.try_divide(F.col("volume"), F.col("factor"))} if "volume" in minutes.columns else {})}).drop("day")

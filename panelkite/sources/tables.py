@@ -66,3 +66,11 @@ def publications(spark: SparkSession, folder: str, field: str = "total_q") -> Da
     )
     one = rows.groupBy(INSTRUMENT, "period", "date").agg(F.max_by("o_totalprice", F.struct("o_orderkey", "o_totalprice")).alias("value"))
     return one.withColumn("field", F.lit(field))
+
+
+def benchmark_weights(rows: DataFrame, index: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(datetime, instrument, weight as a share) of one index from rows (code, date, index, weight in percent)."""
+    own = rows.where(F.col("index") == index)
+    own = own if start is None else own.where(F.col("date") >= F.lit(start).cast("date"))
+    own = own if end is None else own.where(F.col("date") <= F.lit(end).cast("date"))
+    return own.groupBy(F.col("date").alias(TIME), F.col("code").alias(INSTRUMENT)).agg((F.avg("weight") / 100).alias("weight"))
