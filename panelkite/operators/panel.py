@@ -32,6 +32,8 @@ class Panel:
     rows: DataFrame
     calendar: DataFrame
     periods: DataFrame | None = None
+    #: Whether all instruments are on the calendar's slots, not on their own.
+    shared: bool = False
     members: DataFrame | None = None
 
     @classmethod
@@ -44,7 +46,7 @@ class Panel:
         slots = spans.select(INSTRUMENT, F.explode(F.sequence("_first", "_last")).alias(SLOT)).join(calendar, SLOT)
         fields = [c for c in bars.columns if c not in (INSTRUMENT, TIME)]
         rows = slots.join(placed.drop(TIME), [INSTRUMENT, SLOT], "left").select(INSTRUMENT, TIME, SLOT, *fields)
-        return cls(rows, calendar, **more)
+        return cls(rows, calendar, shared=True, **more)
 
     @classmethod
     def dense(cls, bars: DataFrame, **more: DataFrame) -> Panel:
@@ -113,6 +115,14 @@ class Panel:
 
     def _widened(self, rows: DataFrame, start: Moment, end: Moment, widest: Sequence[float]) -> DataFrame:
         """Only the slots that the range's expressions can see, so that the scan can leave the rest out."""
+        if self.shared:
+            # From the calendar, which is small, so that the scan gets plain moments to compare with.
+            ends = _between(self.calendar, start, end).agg(F.min(SLOT), F.max(SLOT)).first()
+            if ends is None or ends[0] is None:
+                return rows.where(F.lit(False))
+            low, high = ends[0] - widest[0], ends[1] + widest[1]
+            seen = self.calendar.where((F.col(SLOT) >= F.lit(float(low))) & (F.col(SLOT) <= F.lit(float(high)))).agg(F.min(TIME), F.max(TIME)).first()
+            return _between(rows, None if widest[0] == extent.INFINITE else seen[0], None if widest[1] == extent.INFINITE else seen[1])
         near = _between(rows.select(INSTRUMENT, TIME, SLOT), start, end)
         ends = near.groupBy(INSTRUMENT).agg(F.min(SLOT).alias("_from"), F.max(SLOT).alias("_to"))
         low = F.lit(True) if widest[0] == extent.INFINITE else F.col(SLOT) >= F.col("_from") - int(widest[0])

@@ -14,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelkite.functions import elementwise as e
 from panelkite.functions import registry, rolling
@@ -197,26 +199,23 @@ class Compiler:
         return df.join(side, F.col(SLOT) == F.col("_slot"), "left").drop("_slot")
 
     def _sequential(self, df: DataFrame, nodes: list[Call]) -> DataFrame:
-        """Recurrences, one instrument at a time, on the columns that they need only."""
+        """Recurrences, one instrument at a time."""
         names = [f"_x{len(self.done) + i}" for i in range(len(nodes))]
         inputs = [f"_in{i}" for i in range(len(nodes))]
         sizes = [_number(n.args[1], n.name) for n in nodes]
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(SLOT)
-            out = rows[[INSTRUMENT, SLOT]].copy()
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by(SLOT)
             for source, name, size in zip(inputs, names, sizes, strict=True):
-                x = rows[source].astype(float)
-                out[name] = _decayed(x, size)
-            return out
-
-        kind = dict(df.dtypes)
-        schema = ", ".join([f"{INSTRUMENT} {kind[INSTRUMENT]}", f"{SLOT} {kind[SLOT]}", *[f"{n} double" for n in names]])
-        small = df.select(INSTRUMENT, SLOT, *[e.finite(e.number(self.column(n.args[0]))).alias(i) for n, i in zip(nodes, inputs, strict=True)])
-        done = small.groupBy(INSTRUMENT).applyInPandas(run, schema)
+                x = rows.column(source).to_pandas().astype(float)
+                rows = rows.append_column(name, pa.array(_decayed(x, size), pa.float64(), from_pandas=True))
+            return rows.drop_columns(inputs)
+
+        # The other columns go along as they are, so nothing has to be joined to them again.
+        ready = df.withColumns({i: e.finite(e.number(self.column(n.args[0]))).cast("double") for n, i in zip(nodes, inputs, strict=True)})
+        schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
         self.done |= dict(zip(nodes, names, strict=True))
-        nan_free = [F.when(~F.isnan(n), F.col(n)).alias(n) for n in names]
-        return df.join(done.select(INSTRUMENT, SLOT, *nan_free), [INSTRUMENT, SLOT], "left").select(*df.columns, *names)
+        return ready.groupBy(INSTRUMENT).applyInArrow(run, schema)
 
 
 def _decayed(x: pd.Series, size: float) -> pd.Series:

@@ -237,10 +237,7 @@ def tail1_per_instrument(s: SparkSession, d: str) -> DataFrame:
 
 def raw_csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Bars written as CSV and read back as a raw source."""
-    import uuid
-
-    folder = s.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/raw-{uuid.uuid4().hex}.csv"
+    path = tables.scratch(s, "raw") + ".csv"
     rows = tables.table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     rows.write.option("header", True).csv(path)
     return tables.read_raw(s, path, "s_suppkey BIGINT, s_name STRING, s_acctbal DOUBLE")
@@ -248,11 +245,8 @@ def raw_csv_round_trip(s: SparkSession, d: str) -> DataFrame:
 
 def stored_update(s: SparkSession, d: str) -> DataFrame:
     """A store that is filled up to a day and then brought up to date gives the panel of all bars."""
-    import uuid
-
-    folder = f"{s.conf.get('spark.sql.warehouse.dir')}/store-{uuid.uuid4().hex}"
     rows = tables.bars(s, d)
-    at = store.Store(s, folder)
+    at = store.Store(s, tables.scratch(s, "store"))
     at.ingest_all(rows.where(F.col(TIME) < F.lit(CUT).cast("timestamp_ntz")))
     at.ingest_update(rows)
     return at.read("features").select(INSTRUMENT, TIME, "close")

@@ -42,7 +42,7 @@ def handler_fetch(s: SparkSession, d: str) -> DataFrame:
 def handler_windows(s: SparkSession, d: str) -> DataFrame:
     """The last three slots of the calendar at each of its slots."""
     rows = _handler(s, d).every_period(3, groups="volume", stage="raw")
-    return rounded(rows.groupBy("moment").agg(F.count(F.lit(1)).alias("n"), F.min(TIME).alias("first"), F.avg("y").alias("y")), 5)
+    return rounded(rows.groupBy("moment").agg(F.count(F.lit(1)).alias("n"), F.min(TIME).alias("first"), F.sum("y").alias("y")), 4)
 
 
 def dataset_prepare(s: SparkSession, d: str) -> DataFrame:
@@ -234,7 +234,7 @@ m AS (SELECT sum(cov) FILTER (a = b) AS trace, count(*) FILTER (a = b) AS n, sum
         "handler_fetch": f"WITH {xy}, q AS (SELECT instrument, datetime, {z.replace('{c}', 'y')} AS y FROM r) SELECT instrument, datetime, round(y, 5) AS y FROM q WHERE datetime BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'",
         "handler_windows": f"""WITH {xy}, calendar AS MATERIALIZED (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS k FROM (SELECT DISTINCT datetime FROM r)),
 p AS (SELECT r.*, k FROM r JOIN calendar USING (datetime)), o AS (SELECT unnest([0, 1, 2]) AS o)
-SELECT c.datetime AS moment, count(*) AS n, min(p.datetime) AS first, round(avg(y), 5) AS y FROM p CROSS JOIN o JOIN calendar c ON c.k = p.k + o WHERE c.k >= 3 GROUP BY 1""",
+SELECT c.datetime AS moment, count(*) AS n, min(p.datetime) AS first, round(sum(y), 4) AS y FROM p CROSS JOIN o JOIN calendar c ON c.k = p.k + o WHERE c.k >= 3 GROUP BY 1""",
         "dataset_prepare": f"""WITH {xy}, k AS {fit}, q AS (SELECT instrument, datetime, coalesce((x - mx) / nullif(sx, 0), 0) AS x, (y - my) / nullif(sy, 0) AS y FROM r CROSS JOIN k)
 SELECT instrument, datetime, round(x, 5) AS x, round(y, 5) AS y, CASE WHEN year(datetime) < 1998 THEN 'train' ELSE 'test' END AS segment FROM q WHERE datetime BETWEEN TIMESTAMP '{FIT[0]}' AND TIMESTAMP '{FIT[1]}' OR datetime >= TIMESTAMP '1998-01-01'""",
         "handlers_joined": f"WITH {xy} SELECT instrument, datetime, round(x, 5) AS a_x, round(y, 5) AS b_y FROM r",

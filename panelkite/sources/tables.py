@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own beside the tables of the session (the shared folder, where one is set); what is there goes with the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for ending in ("", ".csv"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path + ending)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def read_raw(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Raw bars from CSV, Parquet, JSON or ORC, by the ending."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
