@@ -278,9 +278,7 @@ def possible(pairs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> Dat
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs (id, _text) whose id may be one of `ids`, by a bitmap of 16 bits an id, at most 8 MB; beyond, more rows come through."""
     spark = docs.sparkSession
-    bits = 16
-    while bits < 26 and 1 << bits < 16 * ids.count():
-        bits += 1
+    bits = max(16, min(26, (16 * ids.count()).bit_length()))
     cell = ids.select(F.shiftrightunsigned(F.xxhash64("id"), 64 - bits).alias("c"))
     words = cell.groupBy(F.shiftright("c", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(c & 63 AS INT))")).alias("b")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
@@ -486,10 +484,11 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int
     live = block_links(crowd.join(of_class.select("sig", "root", "n", "bits"), "sig"), False, percent).distinct()
     live = _base.stored(live.withColumnsRenamed({"a": "pivot", "b": "want"}).join(of_class.select(F.col("sig").alias("want"), "id", F.col("root").alias("_root")), "want"), "live")
     asked = live.groupBy("want", "id", F.pmod(F.xxhash64("pivot"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct(F.col("pivot").alias("a"), F.lit(0).cast("long").alias("lane"))).alias("at"))
+    asked = _base.stored(asked, "asked")
     tokens = class_sets(docs, asked, text, key).select(F.col("a").alias("pivot"), "sig", "tokens")
     tokens = _base.stored(tokens.join(of_class.select("sig", "root"), "sig"), "class-sets")
     links = links.unionByName(_base.stored(block_links(tokens, True, percent), "links"))
-    for done in (rare, crowd, star, tokens, live, of_class):
+    for done in (rare, crowd, star, tokens, live, of_class, asked):
         _base.discard(done)
 
     named = _base.stored(placed(groups.select("sig", "least"), united(links)), "named")
