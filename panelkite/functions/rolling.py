@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from panelkite.functions.elementwise import finite, known, number
+from panelkite.functions.elementwise import known, number
 
 #: Standard deviations up to this count as zero where a correlation is asked for.
 FLAT = 2e-5
@@ -115,10 +115,11 @@ SIMPLE = {
 
 
 def simple(name: str, x: Column, over: WindowSpec) -> Column:
+    """x is a finite number, for Count as it is."""
     if name == "Count":
         return F.count(known(number(x))).over(over).cast("double")
-    return SIMPLE[name](finite(number(x)), over)
+    return SIMPLE[name](x, over)
 
 
 def quantile(x: Column, q: float, over: WindowSpec) -> Column:
-    return F.percentile(finite(number(x)), F.lit(q)).over(over)
+    return F.percentile(x, F.lit(q)).over(over)

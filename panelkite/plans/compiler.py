@@ -75,6 +75,9 @@ class Compiler:
 
     def __post_init__(self) -> None:
         self.done: dict[Node, str] = {}
+        #: Expressions that were made before: each costs some calls into the JVM.
+        self.made: dict[Node, Column] = {}
+        self.finite: dict[Node, Column] = {}
         self.levels: dict[Node, int] = {}
 
     def level(self, node: Node) -> int:
@@ -87,6 +90,17 @@ class Compiler:
         """The node as an expression over the columns that there are so far."""
         if node in self.done:
             return F.col(self.done[node])
+        if node not in self.made:
+            self.made[node] = self._made(node)
+        return self.made[node]
+
+    def cleaned(self, node: Node) -> Column:
+        """The node as rolling windows see it: a number without infinities."""
+        if node not in self.finite:
+            self.finite[node] = e.finite(e.number(self.column(node)))
+        return self.finite[node]
+
+    def _made(self, node: Node) -> Column:
         if isinstance(node, Field):
             if node.name not in self.panel.columns:
                 return F.lit(None).cast("double")
@@ -127,7 +141,7 @@ class Compiler:
         if name == "Rolling":
             return self._rolling(node, x)
         if name == "Quantile":
-            return rolling.quantile(x, float(_number(node.args[2], name)), frame(int(_number(node.args[1], name))))
+            return rolling.quantile(self.cleaned(node.args[0]), float(_number(node.args[2], name)), frame(int(_number(node.args[1], name))))
         n = int(_number(node.args[-1], name))
         if n < 0:
             raise ExpressionError(f"{node}: a window can't be negative")
@@ -135,14 +149,14 @@ class Compiler:
             raise ExpressionError(f"{node}: the window is too short")
         over = frame(n)
         if name in registry.PAIRED:
-            a, b = e.finite(e.number(x)), e.finite(e.number(self.column(node.args[1])))
+            a, b = self.cleaned(node.args[0]), self.cleaned(node.args[1])
             return (rolling.correlation if name == "Corr" else rolling.covariance)(a, b, over)
         if name in ("Slope", "Resi", "Rsquare"):
-            x, at = e.finite(e.number(x)), F.col(SLOT).cast("double")
+            x, at = self.cleaned(node.args[0]), F.col(SLOT).cast("double")
             if name == "Rsquare":
                 return rolling.rsquare(x, at, over, n == 0)
             return (rolling.slope if name == "Slope" else rolling.residual)(x, at, over)
-        return rolling.simple(name, x, over)
+        return rolling.simple(name, x if name == "Count" else self.cleaned(node.args[0]), over)
 
     def _of_day(self, node: Call, x: Column) -> Column:
         day = Window.partitionBy(INSTRUMENT, F.to_date(TIME))
@@ -212,7 +226,7 @@ class Compiler:
             return rows.drop_columns(inputs)
 
         # The other columns go along as they are, so nothing has to be joined to them again.
-        ready = df.withColumns({i: e.finite(e.number(self.column(n.args[0]))).cast("double") for n, i in zip(nodes, inputs, strict=True)})
+        ready = df.withColumns({i: self.cleaned(n.args[0]) for n, i in zip(nodes, inputs, strict=True)})
         schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
         self.done |= dict(zip(nodes, names, strict=True))
         return ready.groupBy(INSTRUMENT).applyInArrow(run, schema)
