@@ -5,8 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,16 +69,10 @@ def discard(df: DataFrame) -> None:
 
 
 def partitions(spark: SparkSession) -> int:
-    """The session's sizing of shuffles, which follows the data."""
+    """The session's number of shuffle partitions, which its user sets by the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small pieces of each batch, so that Python objects exist for few texts at a time."""
     for batch in batches:
@@ -92,10 +85,6 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def crc(value: object) -> int:
-    return zlib.crc32(("" if value is None else str(value)).encode())
-
-
 def _stars(edges: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u."""
     nodes = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))

@@ -41,10 +41,6 @@ SHOWN = 256
 SEED = 20
 
 
-def usable(vector: list | None) -> bool:
-    return bool(vector) and all(v is not None and np.isfinite(v) for v in vector) and any(v != 0 for v in vector)
-
-
 def vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v) of each row: the unit vector as bytes, null for those that link with nothing."""
 

@@ -4,9 +4,13 @@ from pyspark.sql import functions as F
 from panelkite.llm import neardup
 
 
+def usable(vector):
+    return bool(vector) and all(v is not None and np.isfinite(v) for v in vector) and any(v != 0 for v in vector)
+
+
 def brute(rows, cosine=0.9):
     ids = [i for i, v in rows]
-    good = [neardup.usable(v) for _, v in rows]
+    good = [usable(v) for _, v in rows]
     n = len(rows)
     link = np.zeros((n, n), bool)
     for i in range(n):
