@@ -149,6 +149,12 @@ def soft_weights(scores: Mapping, current: Mapping, k: int, risk: float = 1.0, m
     return out
 
 
+def best_of_dates(rows: DataFrame, k: int, keys: tuple[str, ...] = (TIME,)) -> DataFrame:
+    """Each date's k best scores, ties by the instrument's name: all that soft weights ask of a date."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.col(INSTRUMENT).cast("string"))
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+
+
 def backtest(rows: DataFrame, strategy: TopDrop = TopDrop(), costs: Costs = Costs(), cash: float = 1e8, limit: float | None = None) -> DataFrame:
     """(run_id, datetime, account, return, turnover, cost, value, cash, n_held) from rows (run_id, datetime, instrument, close, score[, change, volume, factor])."""
     flagged = tradable_flags(rows, limit)
