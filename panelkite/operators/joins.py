@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkite.plans.compiler import INSTRUMENT, TIME
@@ -47,8 +47,6 @@ def as_of(left: DataFrame, right: DataFrame, at: str, value: Sequence[str], allo
     Both sides go through one sort of each instrument: a window carries the
     values on, and no pairs are made.
     """
-    from pyspark.sql import Window
-
     keyed = left.withColumn("_row", F.struct(*left.columns))
     a = keyed.select(INSTRUMENT, F.col(TIME).alias("_t"), F.lit(1 if allow_exact else 0).alias("_side"), "_row", F.lit(None).alias("_v"))
     b = right.select(INSTRUMENT, F.col(at).alias("_t"), F.lit(0 if allow_exact else 1).alias("_side"), F.lit(None).alias("_row"), F.struct(*value).alias("_v"))
@@ -81,6 +79,20 @@ def mature_labels(prices: DataFrame, calendar: DataFrame, horizon: int) -> DataF
     return rows.select(INSTRUMENT, TIME, "matures", label.alias("label"), "status")
 
 
+def matured(prices: DataFrame, calendar: DataFrame, horizon: int) -> DataFrame:
+    """prices (instrument, datetime, price, ...; one row a key) with matures and label as `mature_labels` has them, label NULL where it isn't AVAILABLE.
+
+    The calendar is broadcast and the later price comes from a window, so rows stay where their instrument is.
+    """
+    slots = calendar.select(F.col(TIME).alias("_t"), F.col("cal_idx").alias("_slot"))
+    ahead = calendar.select((F.col("cal_idx") - horizon).alias("_ahead"), F.col(TIME).alias("matures"))
+    both = F.broadcast(slots.join(ahead, F.col("_slot") == F.col("_ahead"), "left").drop("_ahead"))
+    rows = prices.join(both, F.col(TIME) == F.col("_t")).drop("_t")
+    later = F.first("price").over(Window.partitionBy(INSTRUMENT).orderBy("_slot").rangeBetween(horizon, horizon))
+    label = F.when((F.col("price") > 0) & (F.col("_later") > 0), F.col("_later") / F.col("price") - 1)
+    return rows.withColumn("_later", later).withColumn("label", label).drop("_later", "_slot")
+
+
 def training_rows(labels: DataFrame, origins: DataFrame) -> DataFrame:
     """(issued_at, instrument, datetime, label): what an origin may learn from, labels that had matured by then.
 
