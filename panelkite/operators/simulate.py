@@ -1,18 +1,21 @@
 """Sequential trading simulation: one fold over a run's days.
 
 A run is a set of rows with one run_id; runs are simulated side by side, one
-task each, and a run's prices and scores are joined before.  State (cash and
+task each that reads its days in order, and a run's prices and scores are
+joined before.  State (cash and
 positions) is carried from day to day inside the fold.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,26 +158,75 @@ def best_of_dates(rows: DataFrame, k: int, keys: tuple[str, ...] = (TIME,)) -> D
     return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def wanted_rows(rows: DataFrame, strategy: TopDrop) -> DataFrame:
+    """The rows that a run can ask for: all of the instruments that are among a date's best at some date, and some row of each date.
+
+    A run holds n + k instruments at most and buys from the n + k best others,
+    so whatever it buys is among a date's 2 (n + k) best.  They are few.
+    """
+    if strategy.only_tradable:
+        return rows
+    score = F.when(~F.isnan("score"), F.col("score") + 0.0)
+    order = Window.partitionBy("run_id", TIME).orderBy(score.desc_nulls_last(), INSTRUMENT)
+    best = rows.select("run_id", TIME, INSTRUMENT, "score").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= 2 * (strategy.n + strategy.k))
+    return rows.join(F.broadcast(best.select("run_id", INSTRUMENT).distinct()), ["run_id", INSTRUMENT], "left_semi")
+
+
 def backtest(rows: DataFrame, strategy: TopDrop = TopDrop(), costs: Costs = Costs(), cash: float = 1e8, limit: float | None = None) -> DataFrame:
-    """(run_id, datetime, account, return, turnover, cost, value, cash, n_held) from rows (run_id, datetime, instrument, close, score[, change, volume, factor])."""
-    flagged = tradable_flags(rows, limit)
+    """(run_id, datetime, account, return, turnover, cost, value, cash, n_held) from rows (run_id, datetime, instrument, close, score[, change, volume, factor]).
+
+    A run's rows go through one task in order of their days, of which it holds one at a time.
+    """
+    flagged = tradable_flags(wanted_rows(rows.where(F.col(TIME).isNotNull()), strategy), limit)
     for name, default in (("volume", None), ("factor", 1.0)):
         if name not in flagged.columns:
             flagged = flagged.withColumn(name, F.lit(default).cast("double"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return fold(frame, strategy, costs, cash)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run_id, days in itertools.groupby(_days(batches), lambda day: day["run_id"].iloc[0]):
+            yield from _packed(_folded(run_id, ((day[TIME].iloc[0], day) for day in days), strategy, costs, cash))
 
     kind = dict(rows.dtypes)
     schema = f"run_id {kind['run_id']}, {TIME} timestamp_ntz, account double, `return` double, turnover double, cost double, value double, cash double, n_held bigint"
-    return flagged.select("run_id", TIME, INSTRUMENT, "close", "score", "volume", "factor", "suspended", "no_buy", "no_sell").groupBy("run_id").applyInPandas(run, schema)
-
-
-def fold(frame: pd.DataFrame, strategy: TopDrop, costs: Costs, cash: float) -> pd.DataFrame:
+    columns = flagged.select("run_id", TIME, INSTRUMENT, "close", "score", "volume", "factor", "suspended", "no_buy", "no_sell")
+    return columns.repartition("run_id").sortWithinPartitions("run_id", TIME, INSTRUMENT).mapInArrow(run, schema)
+
+
+def _days(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The days of runs, from rows in order of run and day."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        frame = batch.to_pandas()
+        if not len(frame):
+            continue
+        new = ((frame["run_id"] != frame["run_id"].shift()) | (frame[TIME] != frame[TIME].shift())).to_numpy()
+        if held:
+            new[0] = held[-1]["run_id"].iloc[-1] != frame["run_id"].iloc[0] or held[-1][TIME].iloc[-1] != frame[TIME].iloc[0]
+        starts = np.flatnonzero(new)
+        for first, end in zip([0, *starts], [*starts, len(frame)], strict=True):
+            if first in starts and held:
+                yield pd.concat(held)
+                held = []
+            if end > first:
+                held.append(frame.iloc[first:end])
+    if held:
+        yield pd.concat(held)
+
+
+def _packed(results: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    names = ["run_id", TIME, "account", "return", "turnover", "cost", "value", "cash", "n_held"]
+    for some in itertools.batched(results, 10_000):
+        columns = [pa.array(c) for c in zip(*some, strict=True)]
+        columns[1] = pa.array([pd.Timestamp(row[1]).to_pydatetime() for row in some], pa.timestamp("us"))
+        columns[2:8] = [pa.array([row[i] for row in some], pa.float64()) for i in range(2, 8)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _folded(run_id: object, days: Iterable[tuple], strategy: TopDrop, costs: Costs, cash: float) -> Iterator[tuple]:
     """One run, day by day."""
-    book, last, seen, out = Book(cash), cash, {}, []
+    book, last, seen = Book(cash), cash, {}
     before: pd.Series | None = None
-    for when, rows in frame.sort_values([TIME, INSTRUMENT]).groupby(TIME, sort=True):
+    for when, rows in days:
         day = rows.set_index(INSTRUMENT)
         seen.update({i: p for i, p in day["close"].items() if p == p})
         traded = cost = 0.0
@@ -193,10 +245,15 @@ def fold(frame: pd.DataFrame, strategy: TopDrop, costs: Costs, cash: float) -> p
         now = book.value(seen)
         for i in book.held:
             book.held[i] += 1
-        out.append((frame["run_id"].iloc[0], when, now, (now - last + cost) / last, traded / last, cost / last, now - book.cash, book.cash, len(book.amounts)))
+        yield run_id, when, float(now), float((now - last + cost) / last), float(traded / last), float(cost / last), float(now - book.cash), float(book.cash), len(book.amounts)
         last = now
         before = day["score"].dropna()
-    return pd.DataFrame(out, columns=["run_id", TIME, "account", "return", "turnover", "cost", "value", "cash", "n_held"])
+
+
+def fold(frame: pd.DataFrame, strategy: TopDrop, costs: Costs, cash: float) -> pd.DataFrame:
+    """One run in memory."""
+    days = frame.sort_values([TIME, INSTRUMENT]).groupby(TIME, sort=True)
+    return pd.DataFrame(_folded(frame["run_id"].iloc[0], days, strategy, costs, cash), columns=["run_id", TIME, "account", "return", "turnover", "cost", "value", "cash", "n_held"])
 
 
 def orders_fold(frame: pd.DataFrame, orders: pd.DataFrame, costs: Costs, cash: float) -> pd.DataFrame:
