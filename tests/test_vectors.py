@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from panelkite.functions import registry
@@ -54,6 +55,27 @@ def test_factors158_evaluates_no_frame_anew(spark):
     assert "RowFrame, -" not in text
 
 
+def test_factors360_is_one_pass_without_windows_of_past_slots(spark):
+    text = plan(workflow.factors360(spark, SF))
+    assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
+    assert "lag(" not in text
+
+
+def test_past_slots_of_odd_rows(spark):
+    panel, fields = odd_bars(spark), factors.factors360()
+    fields = {c: fields[c] for c in fields if c.endswith(("0", "1", "39", "59"))}
+    same(panel.feature_set(fields), panel.features(fields))
+
+
+def test_wide_sets_take_fewer_rows_at_a_time():
+    trees = {f"c{d}": parse(f"Ref($x,{d})/$x") for d in range(1, 361)}
+    rows = pa.RecordBatch.from_pydict({"k": range(9_000), "slot": range(9_000), "before": range(9_000), "x": np.arange(9_000) + 1.0})
+    done = list(vectors.over_batches(trees, None, ["k"], "slot", "before")([rows]))
+    assert sum(b.num_rows for b in done) == 9_000 and max(b.num_rows * b.num_columns for b in done) < 2_000_000
+    last = pa.Table.from_batches(done).to_pandas()["c360"]
+    assert last[:360].isna().all() and np.allclose(last[360:], np.arange(1, 8_641) / np.arange(361, 9_001))
+
+
 @pytest.mark.parametrize("families", [list(factors.FAMILIES)[i::3] for i in range(3)], ids=["first", "second", "third"])
 def test_odd_rows_in_small_batches(spark, families):
     panel = odd_bars(spark)
